@@ -46,23 +46,25 @@ class Canon:
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
         self.plain: list[str] = []
-        self.table = np.zeros((0, 4), np.uint64)
-        self.rows: list[tuple[int, int, int, int]] = []
+        self.table = np.zeros((1024, 4), np.uint64)
 
     def _add(self, word: str) -> int:
         bare = _EDGES.sub("", word)
         low = bare.lower()
         token = "<num>" if _DIGIT.search(low) else _KINDS.get(low, low)
         name = token == low and bare[:1].isupper() and bare[1:].islower()
-        self.rows.append((
-            xxhash.xxh64_intdigest(token),
-            xxhash.xxh64_intdigest("<name>") if name else xxhash.xxh64_intdigest(token),
-            not word or word[-1] in ".!?:",
+        row = self.ids[word] = len(self.plain)
+        if row == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        own = xxhash.xxh64_intdigest(token)
+        self.table[row] = (
+            own,
+            xxhash.xxh64_intdigest("<name>") if name else own,
+            word[-1] in ".!?:",
             (token != low) + 2 * name,
-        ))
+        )
         self.plain.append(low)
-        self.ids[word] = len(self.plain) - 1
-        return len(self.plain) - 1
+        return row
 
     def text(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """For each word: its canonical token's hash, whether it is a parameter, and the word."""
@@ -76,12 +78,10 @@ class Canon:
                 ids.append(self._add(word) if found is None else found)
             if len(ids) > first:
                 ids[first] = -ids[first] - 1  # begins a line, and so a sentence
-        if len(self.rows) > len(self.table):
-            self.table = np.array(self.rows, np.uint64)
         at = np.array(ids, np.int64)
         starts = at < 0
         at = np.where(starts, -at - 1, at)
-        own = self.table[at] if len(at) else np.zeros((0, 4), np.uint64)
+        own = self.table[at]
         starts[1:] |= own[:-1, 2] > 0
         tokens = np.where(starts, own[:, 0], own[:, 1])
         slots = ((own[:, 3] == 1) | ((own[:, 3] == 2) & ~starts)).astype(bool)

@@ -215,12 +215,11 @@ def quality_scores(
     known = learned.mapInArrow(measure, f"_x array<double>, _y {learned.schema['_y'].dataType.simpleString()}").toPandas()
     x = np.array(known["_x"].tolist(), np.float64).reshape(len(known), len(FEATURES))
     model = fit(x, known["_y"].to_numpy(np.float64)) if len(known) else AdditiveModel(0.0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column("_text")], np.float64)
-            scores = pa.array(shared.value.scores(x.reshape(batch.num_rows, len(FEATURES))))
+            scores = pa.array(model.scores(x.reshape(batch.num_rows, len(FEATURES))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), scores, *(batch.column(c) for c in keep)], ["doc_id", "score", *keep]
             )

@@ -8,18 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import sql
+from tessera.llm.ctw import ctw_scores
 from tessera.llm.decontaminate import verdicts
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.licenses import license_scan
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_scores
+from tessera.llm.secrets import secret_report
 from tessera.llm.simhash import simhash_dedup
+from tessera.llm.url_filter import url_verdicts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_scores(_table(spark, sf_dir, "documents"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +40,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: its lines, how many were dropped, and a digest of the text that is left."""
     out = line_dedup(_table(spark, sf_dir, "documents"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import small, written
 from tessera.llm.graph import components
 
 BITS = 64
@@ -69,20 +69,19 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 7, crowd: int =
     if distance % 2 or not 0 < distance < blocks:
         raise ValueError("distance must be even, over 0 and below blocks")
     masks = F.array(*[F.lit(m).cast("long") for m in block_masks(blocks, blocks - distance)])
-    keyed = fps.select("fp", F.posexplode(masks).alias("mask", "bits")).select(
-        "fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key")
+    keyed = fps.select("fp", F.posexplode(masks).alias("choice", "bits")).select(
+        "fp", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("bits"))).alias("key")
     )
-    sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1")
-    shared = written(keyed.join(sizes, ["mask", "key"]), "buckets")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    buckets = written(sizes.where("n > 1"), "buckets")
+    large = buckets.where("n > 2").select("key", "n")
+    shared = written(keyed.join(F.broadcast(large) if small(large) else large, "key"), "shared-buckets")
     cold = shared.where(F.col("n") <= crowd)
-    pairs = (
-        cold.select("mask", "key", F.col("fp").alias("a"))
-        .join(cold.select("mask", "key", F.col("fp").alias("b")), ["mask", "key"])
-        .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
-        .select("a", "b")
-    )
+    pairs = cold.select("key", F.col("fp").alias("a")).join(cold.select("key", F.col("fp").alias("b")), "key")
+    pairs = pairs.select("a", "b").unionByName(buckets.where("n = 2").select("a", "b"))
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     hot = shared.where(F.col("n") > crowd).select("fp").distinct()
-    return pairs.unionByName(ball_links(hot, distance // 2)).distinct()
+    return pairs.where((F.col("a") < F.col("b")) & close).unionByName(ball_links(hot, distance // 2)).distinct()
 
 
 def ball_links(fps: DataFrame, radius: int) -> DataFrame:
