@@ -1 +1,8 @@
 """Tessera: pattern-action record processing and training-data preparation as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so that they need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
