@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +28,14 @@ NUMBER_WORDS = (
 
 _KINDS = dict.fromkeys(UNITS.split(), "<unit>") | dict.fromkeys(NUMBER_WORDS.split(), "<num>")
 _DIGIT = re.compile(r"\d")
+_NAME = xxhash.xxh64_intdigest("<name>")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Bits of the filter through which document windows go before the join: 16 MB whatever the benchmark's size.
 FILTER_BITS = 1 << 27
 _CACHE_WORDS = 500_000
+#: Characters of text worked on at a time.
+PART = 1_000_000
 #: Counts as space, so that no word holds it.
 SEP = "\x1f"
 
@@ -46,57 +50,75 @@ class Canon:
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
         self.plain: list[str] = []
-        self.table = np.zeros((1024, 4), np.uint64)
+        self.new: list[int] = []  # rows not yet in the table, four values each
+        self.table = np.zeros((0, 4), np.uint64)
 
     def _add(self, word: str) -> int:
-        bare = _EDGES.sub("", word)
+        bare = word if word.isalpha() else _EDGES.sub("", word)
         low = bare.lower()
-        token = "<num>" if _DIGIT.search(low) else _KINDS.get(low, low)
-        name = token == low and bare[:1].isupper() and bare[1:].islower()
-        row = self.ids[word] = len(self.plain)
-        if row == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        token = _KINDS.get(low, low) if bare is word or not _DIGIT.search(low) else "<num>"
+        name = token is low and bare[:1].isupper() and bare[1:].islower()
         own = xxhash.xxh64_intdigest(token)
-        self.table[row] = (
-            own,
-            xxhash.xxh64_intdigest("<name>") if name else own,
-            word[-1] in ".!?:",
-            (token != low) + 2 * name,
-        )
+        self.new += (own, _NAME if name else own, word[-1] in ".!?:", (token is not low) + 2 * name)
+        row = self.ids[word] = len(self.plain)
         self.plain.append(low)
         return row
 
-    def text(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """For each word: its canonical token's hash, whether it is a parameter, and the word."""
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words of all texts in a row: each one's canonical token's hash, whether it is a parameter,
+        and its row here; and the count of words of each text.
+        """
         if len(self.ids) > _CACHE_WORDS:
             self.__init__()
-        get, ids = self.ids.get, []
-        for line in text.split("\n"):
-            first = len(ids)
-            for word in line.split():
-                found = get(word)
-                ids.append(self._add(word) if found is None else found)
-            if len(ids) > first:
-                ids[first] = -ids[first] - 1  # begins a line, and so a sentence
+        ids, firsts, sizes = [], [], []
+        for text in texts:
+            before = len(ids)
+            for line in text.split("\n"):
+                if words := line.split():
+                    firsts.append(len(ids))
+                    ids += map(self.ids.get, words)
+            if None in ids[before:]:
+                ids[before:] = [self._add(w) if (i := self.ids.get(w)) is None else i for w in text.split()]
+            sizes.append(len(ids) - before)
         at = np.array(ids, np.int64)
-        starts = at < 0
-        at = np.where(starts, -at - 1, at)
+        if self.new:
+            self.table = np.concatenate([self.table, np.array(self.new, np.uint64).reshape(-1, 4)])
+            self.new = []
         own = self.table[at]
+        starts = np.zeros(len(at), bool)  # of a line, and so of a sentence
+        starts[firsts] = True
         starts[1:] |= own[:-1, 2] > 0
         tokens = np.where(starts, own[:, 0], own[:, 1])
-        slots = ((own[:, 3] == 1) | ((own[:, 3] == 2) & ~starts)).astype(bool)
-        return tokens, slots, [self.plain[i] for i in at]
+        slots = (own[:, 3] == 1) | ((own[:, 3] == 2) & ~starts)
+        return tokens, slots, at, np.array(sizes, np.int64)
 
 
-def windows(tokens: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of ``k`` tokens; of all of them where there are fewer."""
-    k = min(k, len(tokens))
-    if not k:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(tokens) - k + 1, np.uint64)
+def windows(tokens: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of ``k`` tokens within a text, and where it begins among all tokens."""
+    n = len(tokens) - k + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out = np.zeros(n, np.uint64)
     for i in range(k):
-        out = (out * _BASE + tokens[i : len(tokens) - k + 1 + i]) ^ (out >> np.uint64(29))
-    return out
+        out = (out * _BASE + tokens[i : n + i]) ^ (out >> np.uint64(29))
+    inside = np.ones(n + k, bool)
+    ends = np.cumsum(sizes)
+    for i in range(1, k):  # would reach into the next text
+        inside[(ends - i)[ends >= i]] = False
+    where = np.flatnonzero(inside[:n])
+    return out[where], where
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about PART characters, a longer text in its own; each has a row at least."""
+    start, total = 0, 0
+    for i, size in enumerate(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()):
+        if i > start and total + size > PART:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def _scan(rows: DataFrame, k: int, within=None) -> DataFrame:
@@ -106,30 +128,27 @@ def _scan(rows: DataFrame, k: int, within=None) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                ids, at, hashes, slots, sizes = [], [], [], [], []
-                part = batch.slice(start, 200)
-                for doc, text in zip(part.column("id"), part.column("text"), strict=True):
-                    tokens, is_slot, words = canon.text(text.as_py() or "")
-                    found = windows(tokens, k)
-                    where = np.arange(len(found))
-                    if within is not None and len(found):
-                        bit = found % np.uint64(FILTER_BITS)
-                        hit = within.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))
-                        where = where[(hit & np.uint64(1)).astype(bool)]
-                    for p in where.tolist():
-                        ids.append(doc.as_py())
-                        at.append(p)
-                        hashes.append(found[p])
-                        slots.append([f"{i}{SEP}{words[p + i]}" for i in np.flatnonzero(is_slot[p : p + k]).tolist()])
-                        sizes.append(len(tokens))
+            for part in _parts(batch):
+                tokens, is_slot, own, sizes = canon.texts([x or "" for x in part.column("text").to_pylist()])
+                hashes, at = windows(tokens, sizes, k)
+                if within is not None:
+                    bit = hashes % np.uint64(FILTER_BITS)
+                    hit = within.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))
+                    hit = np.flatnonzero(hit & np.uint64(1))
+                    hashes, at = hashes[hit], at[hit]
+                starts = np.cumsum(sizes) - sizes
+                doc = np.searchsorted(starts, at, side="right") - 1
+                slots = [
+                    [f"{i}{SEP}{canon.plain[own[p + i]]}" for i in np.flatnonzero(is_slot[p : p + k]).tolist()]
+                    for p in at.tolist()
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, batch.column("id").type),
-                        pa.array(at, pa.int64()),
-                        pa.array(np.array(hashes, np.uint64).view(np.int64)),
+                        part.column("id").take(pa.array(doc)),
+                        pa.array(at - starts[doc]),
+                        pa.array(hashes.view(np.int64)),
                         pa.array(slots, pa.list_(pa.string())),
-                        pa.array(sizes, pa.int64()),
+                        pa.array(sizes[doc]),
                     ],
                     ["id", "pos", "hash", "slots", "size"],
                 )
@@ -186,6 +205,8 @@ def contamination(
     Returns a row for each document and item with common windows: doc_id, item_id, coverage (share
     of the item's words), slots_consistent, contaminated.
     """
+    if least_words < k:
+        raise ValueError("least_words must be k or more")
     spark = docs.sparkSession
     own = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).cast("string").alias("text"))
     items = written(
