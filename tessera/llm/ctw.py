@@ -177,7 +177,7 @@ def ctw_scores(
     if not 2 <= depth <= 6:
         raise ValueError("depth must be from 2 to 6")
     spark = docs.sparkSession
-    blocks = max(8, docs.rdd.getNumPartitions())
+    blocks = max(8, docs.rdd.getNumPartitions() // 2)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).select(
         "doc_id",
         "text",

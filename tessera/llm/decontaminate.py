@@ -54,9 +54,10 @@ class Canon:
         self.table = np.zeros((0, 4), np.uint64)
 
     def _add(self, word: str) -> int:
-        bare = word if word.isalpha() else _EDGES.sub("", word)
+        letters = word.isalpha()
+        bare = word if letters else _EDGES.sub("", word)
         low = bare.lower()
-        token = _KINDS.get(low, low) if bare is word or not _DIGIT.search(low) else "<num>"
+        token = _KINDS.get(low, low) if letters or not _DIGIT.search(low) else "<num>"
         name = token is low and bare[:1].isupper() and bare[1:].islower()
         own = xxhash.xxh64_intdigest(token)
         self.new += (own, _NAME if name else own, word[-1] in ".!?:", (token is not low) + 2 * name)
