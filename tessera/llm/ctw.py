@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import lgamma
 
 import numpy as np
@@ -16,7 +16,9 @@ from tessera.llm.common import fold, text_of, written
 #: Stands before and after each text; no UTF-8 text has this byte.
 EDGE = 0xFF
 #: Bytes of text worked on at a time.
-CHUNK = 2_000_000
+CHUNK = 500_000
+#: Bytes of text in a block, about: what one task reduces to its distinct grams.
+BLOCK = 48_000_000
 
 _LN_HALF = np.array([lgamma(i + 0.5) for i in range(4096)])
 _LN_ONE = np.array([lgamma(i + 1.0) for i in range(4096)])
@@ -57,7 +59,7 @@ def grams_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return packed[inside], np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
-def chunks(items: list[tuple], size: int = CHUNK) -> Iterator[list[tuple]]:
+def chunks(items: Iterable[tuple], size: int = CHUNK) -> Iterator[list[tuple]]:
     """Split (text, ...) tuples so that each part has about ``size`` bytes, a longer text its own part."""
     part, total = [], 0
     for item in items:
@@ -133,7 +135,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        self.shift = np.uint64(64 - max(10, int(len(keys)).bit_length() + 3))
+        self.shift = np.uint64(64 - max(10, int(len(keys)).bit_length() + 1))
         self.slot = np.full(1 << int(64 - self.shift), 0, np.int32)
         self.slot[self._hash(self.keys)] = np.arange(len(keys), dtype=np.int32)
 
@@ -162,7 +164,7 @@ def ctw_scores(
     learned from unless crc32(id as text) mod ``folds`` is 0. The base score is a unigram model of
     space-separated words, with an end token after each text.
 
-    Documents are dealt into blocks by hash. Each block is reduced to its distinct grams (a byte and
+    Documents are dealt into blocks of about BLOCK bytes by hash. Each block is reduced to its distinct grams (a byte and
     the ``depth`` before it) and words with training counts; only those are summed over the
     corpus, and their probabilities return to the blocks that have them. Grams are grouped by the
     two bytes before the symbol: a group has at most 256^(``depth`` - 1) grams however large the
@@ -177,8 +179,9 @@ def ctw_scores(
     if not 2 <= depth <= 6:
         raise ValueError("depth must be from 2 to 6")
     spark = docs.sparkSession
-    blocks = max(8, docs.rdd.getNumPartitions() // 2)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).select(
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    blocks = max(8, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK + 1)
+    rows = rows.select(
         "doc_id",
         "text",
         (fold(F.col("doc_id"), folds) == 0).alias("held_out"),
@@ -235,17 +238,15 @@ def ctw_scores(
     )
 
 
-def _texts(table: pa.Table) -> list[tuple[bytes, bool]]:
-    return [
-        (t.as_py().encode("utf-8", "surrogatepass").lower(), h.as_py())
-        for t, h in zip(table.column("text"), table.column("held_out"), strict=True)
-    ]
+def _texts(table: pa.Table) -> Iterator[tuple[bytes, bool]]:
+    for t, h in zip(table.column("text"), table.column("held_out"), strict=True):
+        yield t.as_py().encode("utf-8", "surrogatepass").lower(), h.as_py()
 
 
 def _block_stats(table: pa.Table, depth: int) -> pa.Table:
     """A block's distinct grams and words, with their counts in training texts."""
     found, words = [], Counter()
-    for part in chunks(_texts(table)):
+    for part in chunks(_texts(table), 4 * CHUNK):
         for held_out in (False, True):
             texts = [t for t, h in part if h == held_out]
             if not texts:
@@ -309,20 +310,18 @@ def _block_scores(
     is_gram = answers.column("gram").is_valid()
     of_grams, of_words = answers.filter(is_gram), answers.filter(answers.column("token").is_valid())
     logs = Lookup(of_grams.column("gram").to_numpy(), of_grams.column("value").to_numpy())
-    counts = dict(zip(of_words.column("token").to_pylist(), of_words.column("value").to_pylist(), strict=True))
+    counts = dict(zip(of_words.column("token").to_pylist(), of_words.column("value").cast(pa.int64()).to_pylist(), strict=True))
     over = np.log10(total + smoothing * (distinct + 1))
-    base = {w: float(np.log10(c + smoothing) - over) for w, c in counts.items()}
-    known = {w for w, c in counts.items() if c > 0}
     out = [[] for _ in range(5)]
     for part in chunks(_texts(docs)):
         texts = [t for t, _ in part]
         grams, starts = grams_of(texts, depth)
         sums = np.add.reduceat(logs(grams), starts)
         for text, score in zip(texts, sums.tolist(), strict=True):
-            words = [*text.split(), b""]
-            out[0].append(len(words))
-            out[1].append(sum(map(known.__contains__, words)))
-            out[2].append(sum(map(base.__getitem__, words)))
+            c = np.array([counts[w] for w in text.split()] + [counts[b""]], np.float64)
+            out[0].append(len(c))
+            out[1].append(int(np.count_nonzero(c)))
+            out[2].append(float((np.log10(c + smoothing) - over).sum()))
             out[3].append(score)
             out[4].append(-score * float(np.log2(10)) / (len(text) + 1))
     columns = [docs.column("doc_id"), docs.column("held_out"), pa.array(out[0]), pa.array(out[1])]
