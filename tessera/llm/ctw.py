@@ -18,7 +18,7 @@ EDGE = 0xFF
 #: Bytes of text worked on at a time.
 CHUNK = 500_000
 #: Bytes of text in a block, about: what one task reduces to its distinct grams.
-BLOCK = 48_000_000
+BLOCK = 36_000_000
 
 _LN_HALF = np.array([lgamma(i + 0.5) for i in range(4096)])
 _LN_ONE = np.array([lgamma(i + 1.0) for i in range(4096)])
@@ -307,9 +307,8 @@ def _block_scores(
 ) -> pa.Table:
     """Score a block's texts with the values of its grams and words."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
-    is_gram = answers.column("gram").is_valid()
-    of_grams, of_words = answers.filter(is_gram), answers.filter(answers.column("token").is_valid())
-    logs = Lookup(of_grams.column("gram").to_numpy(), of_grams.column("value").to_numpy())
+    of_words = answers.filter(answers.column("token").is_valid()).select(["token", "value"])
+    logs = Lookup(answers.column("gram").fill_null(-1).to_numpy(), answers.column("value").to_numpy())
     counts = dict(zip(of_words.column("token").to_pylist(), of_words.column("value").cast(pa.int64()).to_pylist(), strict=True))
     over = np.log10(total + smoothing * (distinct + 1))
     out = [[] for _ in range(5)]
