@@ -1,6 +1,7 @@
 """Every registered query of the record operators against its SQL, on the smallest tables."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 from tessera.plans import queries
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TESSERA_SF_DIR", "/root/testdata/sf0.001")
 
 
 def _plain(value):
