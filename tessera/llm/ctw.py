@@ -17,6 +17,8 @@ from tessera.llm.common import fold, text_of, written
 EDGE = 0xFF
 #: Bytes of text worked on at a time.
 CHUNK = 500_000
+#: Grams that wait to be merged into those of a block, about.
+PENDING = 1_000_000
 #: Bytes of text in a block, about: what one task reduces to its distinct grams.
 BLOCK = 36_000_000
 
@@ -73,8 +75,13 @@ def chunks(items: Iterable[tuple], size: int = CHUNK) -> Iterator[list[tuple]]:
 
 
 def _merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in counts]), len(keys)).astype(np.int64)
+    """Distinct keys in order, and the sums of their counts."""
+    keys = np.concatenate([k for k, _ in counts])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    n = np.concatenate([n for _, n in counts])[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
 
 
 def levels(grams: np.ndarray, counts: np.ndarray, depth: int, least: int) -> list[dict[str, np.ndarray]]:
@@ -260,7 +267,7 @@ def _block_stats(table: pa.Table, depth: int) -> pa.Table:
                 else:
                     words.update(own)
         words[b""] += sum(not h for _, h in part)  # the end token
-        if len(found) > 16:
+        if sum(len(k) for k, _ in found[1:]) > PENDING:
             found = [_merged(found)]
     keys, n = _merged(found)
     tokens = list(words)
