@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from math import lgamma
@@ -245,6 +246,14 @@ def ctw_scores(
     )
 
 
+def _released() -> None:
+    """Give what a block has taken back to the system: a worker stays for the next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _texts(table: pa.Table) -> Iterator[tuple[bytes, bool]]:
     for t, h in zip(table.column("text"), table.column("held_out"), strict=True):
         yield t.as_py().encode("utf-8", "surrogatepass").lower(), h.as_py()
@@ -272,6 +281,8 @@ def _block_stats(table: pa.Table, depth: int) -> pa.Table:
     keys, n = _merged(found)
     tokens = list(words)
     block = table.column("block")[0].as_py()
+    del found, part, texts
+    _released()
     return pa.table({
         "block": pa.array(np.full(len(keys) + len(tokens), block, np.int32)),
         "gram": pa.concat_arrays([pa.array(keys), pa.nulls(len(tokens), pa.int64())]),
@@ -330,6 +341,8 @@ def _block_scores(
             out[2].append(float((np.log10(c + smoothing) - over).sum()))
             out[3].append(score)
             out[4].append(-score * float(np.log2(10)) / (len(text) + 1))
+    del logs, counts, of_words
+    _released()
     columns = [docs.column("doc_id"), docs.column("held_out"), pa.array(out[0]), pa.array(out[1])]
     columns += [pa.array(np.full(docs.num_rows, total, np.int64)), pa.array(out[2]), pa.array(out[3]), pa.array(out[4])]
     return pa.table(columns, names=names)
