@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.regex import is_literal, java
-from tessera.functions.values import num
+from tessera.functions.values import num, text
 
 
 def matches(value: Column, pattern: str, ignore_case: bool = False) -> Column:
@@ -146,31 +146,91 @@ def character(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
 
 
-def formatted(template: str, *values: Column) -> Column:
-    """printf for %s, %d, %i, %c of codes, %x, %o, %X, %u, %f and %e with flags and width; %% is a percent sign.
+_CONVERSION = re.compile(r"%(?:(\d+)\$)?([-+ #0']*)(\*|\d+)?(?:\.(\*|\d*))?([a-zA-Z%])")
+_KNOWN = "diuxXofFeEgGcs"
 
-    Numbers given to %d are cut to whole ones. Fractions are rounded half up by their decimal text.
+
+def formatted(template: str, *values: Column | int) -> Column:
+    """printf: %d, %i, %u, %x, %X, %o, %f, %e, %E, %g, %G, %c and %s with flags, width and precision; %% is a percent sign.
+
+    ``*`` takes a width or precision from the values, as a Python integer; ``%2$s`` names a value. A quote
+    groups thousands. Numbers for %d are cut to whole ones, and %u, %x and %o show negative ones as
+    unsigned. %c takes a code point, or the first character of a text; %s shows doubles as print does.
+    Fractions are rounded half up by their decimal text. Unknown letters stay as they are.
     """
-    out, taken, left = [], [], list(values)
-    for part in re.split(r"(%[-+ #0]*\d*(?:\.\d+)?[a-zA-Z%])", template):
-        if not re.fullmatch(r"%[-+ #0]*\d*(?:\.\d+)?[a-zA-Z%]", part) or part[-1] == "%":
-            out.append("%%" if part[:1] == "%" and part[-1:] == "%" else part.replace("%", "%%"))
-            continue
-        if not left:
+    out, taken, at, end = [], [], 0, 0
+
+    def next_value():
+        nonlocal at
+        at += 1
+        if at > len(values):
             raise ValueError("not enough values for the format")
-        value, kind = left.pop(0), part[-1]
-        if kind in "diu":
-            value, part = value.cast("double").cast("bigint"), part[:-1] + "d"
-        elif kind in "xXo":
-            value = value.cast("double").cast("bigint")
-        elif kind in "feE":
-            value = value.cast("double")
-        elif kind == "c":
-            value, part = character(value), part[:-1] + "s"
-        elif kind == "s":
-            value = value.cast("string")
-        else:
-            raise ValueError(f"no native form of {part}")
-        out.append(part)
+        return values[at - 1]
+
+    for m in _CONVERSION.finditer(template):
+        out.append(template[end : m.start()].replace("%", "%%"))
+        end = m.end()
+        number, flags, width, precision, kind = m.groups()
+        if kind == "%" or kind not in _KNOWN:
+            out.append("%%" if kind == "%" else m.group().replace("%", "%%"))
+            continue
+        if width == "*":
+            size = next_value()
+            width, flags = str(abs(size)), flags + ("-" if size < 0 else "")
+        if precision == "*":
+            precision = str(next_value())
+        value = values[int(number) - 1] if number else next_value()
+        spec, value = _conversion(F.lit(value), kind, flags, width or "", None if precision is None else int(precision or 0))
+        out.append(spec)
         taken.append(value)
+    out.append(template[end:].replace("%", "%%"))
     return F.format_string("".join(out), *taken)
+
+
+def _conversion(value: Column, kind: str, flags: str, width: str, precision: int | None) -> tuple[str, Column]:
+    """The directive and value that Spark's format_string needs."""
+    left = "-" if "-" in flags else ""
+    keep = "".join(f for f in dict.fromkeys(flags.replace("'", ",")) if f != "0" or (width and not left))
+    if not width:
+        keep = keep.replace("-", "")
+    if kind in "diuxXo":
+        whole = value.cast("double").cast("bigint")
+        if kind in "xXo" and precision is None:
+            return "%" + "".join(f for f in keep if f not in "+ ,") + width + kind, whole
+        if kind in "di" and precision is None:
+            return "%" + keep.replace("#", "") + width + "d", whole
+        digits = F.abs(whole).cast("string") if kind in "di" else F.conv(whole.cast("string"), 10, {"u": 10, "o": 8}.get(kind, 16))
+        digits = F.lower(digits) if kind == "x" else digits
+        digits = F.when(F.length(digits) < (precision or 0), F.lpad(digits, precision or 0, "0")).otherwise(digits)
+        plus = "+" if "+" in flags else " " if " " in flags else ""
+        sign = F.when(whole < 0, "-").otherwise(plus) if kind in "di" else F.lit("")
+        return f"%{left if width else ''}{width}s", F.concat(sign, digits)
+    if kind in "feEF":
+        places = "" if precision is None else f".{precision}"
+        return "%" + (keep if kind in "fF" else keep.replace(",", "")) + width + places + kind.replace("F", "f"), value.cast("double")
+    if kind in "gG":
+        x = value.cast("double")
+        shown = text(x, 6 if precision is None else max(precision, 1), whole=False)
+        shown = F.when((x >= 0) & F.lit("+" in flags), F.concat(F.lit("+"), shown)).otherwise(shown)
+        return f"%{left if width else ''}{width}s", F.upper(shown) if kind == "G" else shown
+    is_text, is_fraction = F.typeof(value) == "string", F.typeof(value).isin("double", "float")
+    if kind == "c":
+        shown = F.when(is_text, F.substring(value.cast("string"), 1, 1)).otherwise(character(value.try_cast("bigint")))
+    else:
+        shown = F.when(is_fraction, text(value.try_cast("double"))).otherwise(value.cast("string"))
+        shown = F.coalesce(shown, F.lit(""))
+    cut = "" if precision is None or kind == "c" else f".{precision}"
+    return f"%{left if width else ''}{width}{cut}s", shown
+
+
+def match_groups(value: Column, pattern: str, groups: int) -> Column:
+    """Array of the first match and its groups 1 to ``groups``; empty where there is no match."""
+    whole = java(pattern)
+    texts = F.array(*[F.regexp_extract(value, whole, i) for i in range(groups + 1)])
+    return F.when(F.coalesce(value.rlike(whole), F.lit(False)), texts).otherwise(F.array().cast("array<string>"))
+
+
+def between_found(value: Column, pattern: str = r"[^[:space:]]+") -> Column:
+    """Array of what stands between the matches of the pattern, without what is before the first and after the last."""
+    parts = F.split(F.coalesce(value, F.lit("")), java(pattern), -1)
+    return F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))

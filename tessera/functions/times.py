@@ -11,16 +11,32 @@ from pyspark.sql import functions as F
 DIRECTIVES = {
     "Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "j": "DDD", "p": "a",
     "a": "EEE", "A": "EEEE", "b": "MMM", "h": "MMM", "B": "MMMM", "Z": "zzz", "z": "xx", "F": "yyyy-MM-dd", "T": "HH:mm:ss",
-    "R": "HH:mm", "D": "MM/dd/yy",
+    "R": "HH:mm", "D": "MM/dd/yy", "x": "MM/dd/yy", "X": "HH:mm:ss", "r": "hh:mm:ss a",
 }
 
 
-def strftime(template: str, seconds: Column) -> Column:
-    """Format by strftime directives; ``%e``, ``%s``, ``%u`` and ``%w`` are computed, an unknown one is an error."""
+#: Fixed value: the format of a time where none is given.
+DEFAULT = "%a %b %e %H:%M:%S %Z %Y"
+
+
+def strftime(template: str, seconds: Column, utc: bool = False) -> Column:
+    """Format by strftime directives; some, such as ``%e`` and ``%V``, are computed. An unknown one is an error."""
     at, parts = F.timestamp_seconds(seconds.cast("double")), []
+    if utc:
+        at = F.to_utc_timestamp(at, F.current_timezone())
+        template = template.replace("%Z", "UTC").replace("%z", "+0000")
+    template = template.replace("%c", "%a %b %e %H:%M:%S %Y")
+    monday = F.date_sub(at.cast("date"), F.weekday(at))
     computed = {
         "e": F.lpad(F.dayofmonth(at).cast("string"), 2, " "),
-        "s": F.unix_seconds(at).cast("string"),
+        "k": F.lpad(F.hour(at).cast("string"), 2, " "),
+        "l": F.lpad(((F.hour(at) + 11) % 12 + 1).cast("string"), 2, " "),
+        "C": F.lpad(F.floor(F.year(at) / 100).cast("string"), 2, "0"),
+        "V": F.lpad(F.weekofyear(at).cast("string"), 2, "0"),
+        "G": F.year(F.date_add(monday, 3)).cast("string"),
+        "U": F.lpad(F.floor((F.dayofyear(at) + 7 - F.dayofweek(at)) / 7).cast("string"), 2, "0"),
+        "W": F.lpad(F.floor((F.dayofyear(at) + 6 - F.weekday(at)) / 7).cast("string"), 2, "0"),
+        "s": F.floor(seconds).cast("string"),
         "u": (F.weekday(at) + 1).cast("string"),
         "w": ((F.weekday(at) + 1) % 7).cast("string"),
         "n": F.lit("\n"),

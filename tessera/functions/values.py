@@ -30,13 +30,15 @@ def looks_numeric(text: Column) -> Column:
     return F.coalesce(text.rlike(_WHOLE), F.lit(False))
 
 
-def text(number: Column, digits: int = 6) -> Column:
+def text(number: Column, digits: int = 6, whole: bool = True) -> Column:
     """A number as text: whole numbers without a point, others to ``digits`` significant digits (%g); null is empty.
 
+    Without ``whole``, whole numbers too have at most ``digits`` significant digits.
+
     Built from decimal arithmetic, so that it stays in generated code.
     """
     x = number.cast("double")
-    whole = (F.abs(x) < 1e16) & (x == F.floor(x))
+    plainly = ((F.abs(x) < 1e16) & (x == F.floor(x))) if whole else x == 0
     exponent = F.floor(F.log10(F.abs(x))).cast("int")
     # rounding can carry into the next power of ten
     scaled = F.format_number(F.abs(x) / F.pow(F.lit(10.0), exponent), digits - 1)
@@ -55,7 +57,7 @@ def text(number: Column, digits: int = 6) -> Column:
         .when(F.isnan(x), "+nan")
         .when(x == float("inf"), "+inf")
         .when(x == float("-inf"), "-inf")
-        .when(whole, x.cast("decimal(20,0)").cast("string"))
+        .when(plainly, x.cast("decimal(20,0)").cast("string"))
         .when((carried < -4) | (carried >= digits), scientific)
         .otherwise(plain)
     )

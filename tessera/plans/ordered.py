@@ -7,7 +7,10 @@ range of a row depends on its order column alone, so that a task that is run aga
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +39,10 @@ def _carried(df: DataFrame, order: str, per_key: list[str], partial: dict[str, s
     rows = df.groupBy(*per_key, _RANGE).agg(*[F.expr(x).alias(n) for n, x in partial.items()])
     over = f"over ({'partition by ' + ', '.join(per_key) if per_key else ''} order by {_RANGE} rows between unbounded preceding and 1 preceding)"
     sums = rows.selectExpr(*keys.split(", "), *[f"{x} {over} as {n}" for n, x in before.items()])
-    if per_key:
-        return df.join(sums, [*per_key, _RANGE])
+    if per_key:  # null is a key like any other
+        sums = sums.withColumnsRenamed({k: f"_key_{k}" for k in [*per_key, _RANGE]})
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in [*per_key, _RANGE]])
+        return df.join(sums, same).drop(*[f"_key_{k}" for k in [*per_key, _RANGE]])
     return df.join(F.broadcast(sums), _RANGE)
 
 
@@ -130,9 +135,30 @@ def ranked_within(df: DataFrame, keys: list[str], order: str, name: str = "n") -
     return df.withColumn(name, (own + F.coalesce("_before", F.lit(0))).cast("bigint")).drop(_RANGE, "_before")
 
 
-def sessions(df: DataFrame, keys: list[str], order: Column | str, gap: float, name: str = "session") -> DataFrame:
-    """Add the number of a row's session within its key, from 1: a new one begins after more than ``gap``."""
-    by = ", ".join(keys)
-    over = f"over (partition by {by} order by {order})"
-    opens = F.expr(f"case when {order} - lag({order}) {over} <= {gap} then 0 else 1 end")
-    return df.withColumn("_o", opens).withColumn(name, F.expr(f"sum(_o) {over}")).drop("_o")
+def sessions(df: DataFrame, keys: list[str], order: str, gap: float, name: str = "session", ranges: int | None = None) -> DataFrame:
+    """Add the number of a row's session within its key, from 1: a new one begins after more than ``gap``.
+
+    Ranges keep a hot key out of one task: the last row of a key, and its sessions so far, pass from range to range.
+    """
+    over = f"over (partition by {', '.join([*keys, _RANGE])} order by {order})"
+    df = _carried(with_ranges(df, order, ranges), order, keys, {"_m": f"max({order})"}, {"_last": "max(_m)"})
+    before = F.coalesce(F.expr(f"lag({order}) {over}"), "_last")
+    df = df.withColumn("_o", F.when(F.col(order) - before <= gap, 0).otherwise(1)).drop("_last")
+    df = _carried(df, order, keys, {"_n": "sum(_o)"}, {"_before": "sum(_n)"})
+    total = F.expr(f"sum(_o) {over}") + F.coalesce("_before", F.lit(0))
+    return df.withColumn(name, total).drop(_RANGE, "_o", "_before")
+
+
+def as_of(df: DataFrame, table: DataFrame, keys: list[str], order: str, values: list[str], ranges: int | None = None) -> DataFrame:
+    """Add the ``values`` of the table's last row of the same key whose ``order`` is at most the row's own, or nulls.
+
+    Both sides go through one ordered pass, so that nothing is joined pair by pair. Of table rows with the
+    same key and order the one with the largest values counts. Null is a key like any other.
+    """
+    latest = table.groupBy(*keys, order).agg(F.max(F.struct(*values)).alias("_t"))
+    both = df.withColumn("_own", F.lit(1)).unionByName(latest.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+    partial = {"_p": f"max_by(_t, {order}) filter (where _own = 0)"}
+    both = _carried(with_ranges(both, order, ranges), order, keys, partial, {"_before": "last_value(_p) ignore nulls"})
+    over = f"over (partition by {', '.join([*keys, _RANGE])} order by {order}, _own rows between unbounded preceding and current row)"
+    found = both.withColumn("_f", F.coalesce(F.expr(f"last_value(_t) ignore nulls {over}"), "_before")).where("_own = 1")
+    return found.select(*df.columns, *[F.col(f"_f.{v}").alias(v) for v in values])

@@ -319,6 +319,23 @@ def intersect_keys(df, of):
     return lookups.within(folds.distinct_values(df.select(F.col("o_custkey").alias("k")), ["k"]), keys, ["k"])
 
 
+@query("events", """WITH s AS (SELECT user_id, event_id, value AS signup_value FROM events WHERE event_type = 'signup')
+    SELECT p.event_id, p.user_id, s.signup_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    ASOF LEFT JOIN s ON p.user_id = s.user_id AND p.event_id >= s.event_id""")
+def join_as_of(df, of):
+    signups = df.where("event_type = 'signup'").select("user_id", "event_id", F.col("value").alias("signup_value"))
+    bought = df.where("event_type = 'purchase'").select("event_id", "user_id")
+    return ordered.as_of(bought, signups, ["user_id"], "event_id", ["signup_value"])
+
+
+@query("orders", """SELECT o_orderkey, s_suppkey FROM orders JOIN (SELECT s_suppkey, s_acctbal AS low, s_acctbal + 50 AS high FROM supplier)
+    ON o_totalprice / 50 >= low AND o_totalprice / 50 < high""")
+def join_interval(df, of):
+    bands = of("supplier").select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 50).alias("high"))
+    points = df.select("o_orderkey", (F.col("o_totalprice") / 50).alias("point"))
+    return lookups.in_interval(points, "point", bands, "low", "high", 50).select("o_orderkey", "s_suppkey")
+
+
 # --- records and fields
 
 @query("part", "SELECT p_partkey, len(string_split(p_name, ' ')) AS nf, string_split(p_name, ' ')[1] AS f1, string_split(p_name, ' ')[-1] AS last FROM part")
@@ -428,6 +445,22 @@ def printf_fixed(df, of):
     return df.select("p_partkey", strings.formatted("%5d|%-12s|%x", F.col("p_size"), F.col("p_brand"), F.col("p_size")).alias("line"))
 
 
+@query("part", """SELECT p_partkey, printf('%05d|%-8.3s|%+d|%8.2f|%g', p_size, p_brand, p_size, p_retailprice, p_size / 4.0::DOUBLE) AS line FROM part""")
+def printf_precision(df, of):
+    size = F.col("p_size")
+    return df.select(
+        "p_partkey",
+        strings.formatted("%05d|%-*.*s|%+d|%8.2f|%g", size, 8, 3, F.col("p_brand"), size, F.col("p_retailprice"), size / 4).alias("line"),
+    )
+
+
+@query("customer", """SELECT c_custkey, regexp_extract(c_name, '([A-Za-z]+)#0*([0-9]+)', 1) AS word, regexp_extract(c_name, '([A-Za-z]+)#0*([0-9]+)', 2) AS id
+    FROM customer""")
+def str_match_groups(df, of):
+    found = strings.match_groups(F.col("c_name"), "([A-Za-z]+)#0*([0-9]+)", 2)
+    return df.select("c_custkey", F.get(found, 1).alias("word"), F.get(found, 2).alias("id"))
+
+
 @query("events", """SELECT event_id, ascii(event_type) AS code, chr(ascii(event_type)) AS letter, TRY_CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS v FROM events""")
 def str_codes(df, of):
     kind = F.col("event_type")

@@ -152,3 +152,49 @@ def test_accumulators(spark):
     df = spark.createDataFrame([("a", -2.0), ("a", 3.0), ("b", 0.0)], "k string, v double")
     got = {r["k"]: round(r["p"], 9) for r in folds.fold(df, ["k"], p=folds.product(F.col("v"))).collect()}
     assert got == {"a": -6.0, "b": 0.0}
+
+
+@pytest.mark.parametrize(
+    ("template", "args", "want"),
+    [
+        ("%5.3d|%-6i|%.2f", (-7, 42.9, 2.5), " -007|42    |2.50"),
+        ("%u|%X|%o", (-1, 255, 8), "18446744073709551615|FF|10"),
+        ("%c%c|%s|%.2s", (65, "xyz", 0.1, "abc"), "Ax|0.1|ab"),
+        ("%g|%g|%.3g|%G|%g", (1e6, 0.0, 1234.5, 1e-5, 100000.0), "1e+06|0|1.23e+03|1E-05|100000"),
+        ("%2$s %1$s|%q|100%", ("a", "b"), "b a|%q|100%"),
+        ("%'d|%*d|%-*d|", (1234567, 4, 7, 3, 8), "1,234,567|   7|8  |"),
+    ],
+)
+def test_printf(spark, template, args, want):
+    assert one(spark, strings.formatted(template, *args)) == want
+
+
+def test_more_text_and_times(spark):
+    assert one(spark, strings.match_groups(F.lit("ab12"), "([a-z]+)([0-9]+)", 2)) == ["ab12", "ab", "12"]
+    assert one(spark, strings.match_groups(F.lit("-"), "([a-z])", 1)) == []
+    assert one(spark, strings.between_found(F.lit(" a, b;c "), "[a-z]")) == [", ", ";"]
+    at = F.lit(1709164801)  # a Thursday
+    assert one(spark, times.strftime("%C %k %l %G-%V %U %W %r", at)) == "20  0 12 2024-09 08 09 12:00:01 AM"
+    assert one(spark, times.strftime(times.DEFAULT, at, utc=True)) == "Thu Feb 29 00:00:01 UTC 2024"
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_state_by_key(spark, ranges):
+    rows = [(i * i % 997, (None, "a", "b")[i % 3], i) for i in range(300)]
+    df = spark.createDataFrame(rows, "t long, k string, i long").dropDuplicates(["k", "t"])
+    want, last, count = {}, {}, {}
+    for r in sorted(df.collect(), key=lambda r: r["t"]):
+        if r["k"] not in last or r["t"] - last[r["k"]] > 9:
+            count[r["k"]] = count.get(r["k"], 0) + 1
+        last[r["k"]] = r["t"]
+        want[r["k"], r["t"]] = count[r["k"]]
+    got = ordered.sessions(df, ["k"], "t", 9, ranges=ranges).collect()
+    assert {(r["k"], r["t"]): r["session"] for r in got} == want and len(got) == len(want)
+    table = df.where("i % 5 = 0").select("k", "t", F.col("i").alias("v"))
+    known = [(r["k"], r["t"], r["v"]) for r in table.collect()]
+    got = ordered.as_of(df.select("k", "t"), table, ["k"], "t", ["v"], ranges).collect()
+    for r in got:
+        earlier = [(t, v) for k, t, v in known if k == r["k"] and t <= r["t"]]
+        assert r["v"] == (max(earlier)[1] if earlier else None)
+    assert len(got) == len(want)
+    assert ordered.ranked_within(df, ["k"], "t").count() == len(want)
