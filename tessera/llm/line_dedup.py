@@ -11,6 +11,9 @@ from tessera.llm.graph import components
 #: Dropped line numbers that are broadcast at most; with more the texts are shuffled to them.
 BROADCAST_LINES = 1_000_000
 
+#: Production: the least length of a line whose exact copies are dropped.
+EXACT_CHARS = 1
+
 
 def segment_keys(line: Column, threshold: int) -> Column:
     """An array of (key, indexed, probes) of a line for the edit join.
@@ -168,24 +171,29 @@ def _deletion_links(lines: DataFrame) -> DataFrame:
 
 
 def repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 1, least_chars: int = 32
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: int = 1,
+    least_chars: int = 32,
+    exact_chars: int | None = None,
 ) -> DataFrame:
     """doc_id and ``drop``, the numbers (from 0) of its lines that repeat an earlier line."""
-    digest = F.unhex(F.md5("line"))
+    digest, compared = F.unhex(F.md5("line")), F.length("line") >= least_chars
     lines = (
         docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_of(text_col), "\n")).alias("line_no", "line"))
         .where("doc_id is not null")
         .withColumn("line", F.trim("line"))
-        .where(F.length("line") >= least_chars)
+        .where(F.length("line") >= max(1, least_chars if exact_chars is None else min(exact_chars, least_chars)))
         .withColumn("digest", digest)
     )
     distinct = written(
         lines.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
+        .agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first(F.when(compared, F.col("line"))).alias("line"))
         .withColumn("lid", F.monotonically_increasing_id()),
         "lines",
     )
-    classes = components(near_lines(distinct.select("lid", "line"), threshold))
+    classes = components(near_lines(distinct.where("line is not null").select("lid", "line"), threshold))
     linked = distinct.select("lid", "digest", "first", "n").join(
         classes.select(F.col("node").alias("lid"), "component"), "lid", "left"
     )
@@ -211,13 +219,16 @@ def line_dedup(
     text_col: str = "text",
     threshold: int = 1,
     least_chars: int = 32,
+    exact_chars: int | None = None,
 ) -> DataFrame:
     """Drop lines that are equal to an earlier line of the corpus, or within ``threshold`` edits of one.
 
     Lines are what newlines separate, without spaces at either end; the first line of each class
     of linked lines, by smallest id and line number, stays. Lines below ``least_chars`` characters
-    always stay. Exact copies are collapsed by digest before the edit join, so that a line with
-    any number of copies is one row there.
+    are not compared by edits, as short ones are too easily confused. Exact copies are dropped from
+    ``exact_chars`` characters on, ``least_chars`` if that is None; the registered query and the
+    pipeline drop them at any length (EXACT_CHARS). Empty lines always stay. Exact copies are collapsed by
+    digest before the edit join, so that a line with any number of copies is one row there.
 
     Null text counts as empty, and empty text has one empty line. Lines of rows with a null id stay
     and don't count as earlier lines. Rows that repeat an id are treated as one document. An empty
@@ -226,7 +237,7 @@ def line_dedup(
     Returns all columns of ``docs`` with the text rewritten, and n_lines and n_dropped (replaced, where
     ``docs`` has columns of those names).
     """
-    drops = written(repeated_lines(docs, id_col, text_col, threshold, least_chars), "dropped-lines")
+    drops = written(repeated_lines(docs, id_col, text_col, threshold, least_chars, exact_chars), "dropped-lines")
     dropped = drops.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0]
     if dropped <= BROADCAST_LINES:
         drops = F.broadcast(drops)

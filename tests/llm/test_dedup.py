@@ -8,7 +8,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import line_dedup as ld
+from tessera.llm import queries
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.graph import components
 from tessera.llm.simhash import ball_links, fingerprint, near_links, simhash_dedup
@@ -209,3 +211,17 @@ def test_line_dedup_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id: r.text for r in ld.line_dedup(docs).collect()} == plain_lines(rows)
+
+
+def test_line_dedup_drops_short_copies(spark, tmp_path):
+    """The registered query and the stage, at any length; short lines one edit apart stay."""
+    rows = [(1, "ab\n\nab\nac\n  "), (2, " ab \nx"), (3, "ab\n\nx"), (4, "x"), (None, "ab")]
+    docs = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, n_chars int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {1: ("ab\n\nac\n  ", 1), 2: ("x", 1), 3: ("", 2), 4: ("", 1), None: ("ab", 0)}
+    got = {r.doc_id: r for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: (r.text_sha256, r.n_dropped) for i, r in got.items()} == {
+        i: (hashlib.sha256(t.encode()).hexdigest(), n) for i, (t, n) in want.items()
+    }
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
+    assert left == {i: t for i, (t, _) in want.items() if t}
