@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import small, written
 from tessera.llm.decontaminate import contamination
-from tessera.llm.line_dedup import EXACT_CHARS, line_dedup
+from tessera.llm.line_dedup import EXACT_CHARS, LENGTH_EDITS, line_dedup
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_scores
 from tessera.llm.simhash import simhash_dedup
@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines. One with nothing left but spaces is dropped."""
-    out = line_dedup(docs, exact_chars=EXACT_CHARS).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = line_dedup(docs, threshold=LENGTH_EDITS, exact_chars=EXACT_CHARS).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

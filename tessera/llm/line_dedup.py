@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ BROADCAST_LINES = 1_000_000
 #: Production: the least length of a line whose exact copies are dropped.
 EXACT_CHARS = 1
 
+#: Production: (least characters, edits) of the shorter of two near lines: one edit for each 20 characters, up to 3.
+LENGTH_EDITS = ((32, 1), (40, 2), (60, 3))
+
+#: Offsets whose differences are all numbers up to the key.
+RULERS = {0: (0,), 1: (0, 1), 2: (0, 1, 2), 3: (0, 1, 3)}
+
+#: A band of lengths ends at this multiple of its least length; the last one begins below LAST_BAND.
+BAND_GROWTH, LAST_BAND = 1.5, 100_000
+
 
 def segment_keys(line: Column, threshold: int) -> Column:
     """An array of (key, indexed, probes) of a line for the edit join.
@@ -170,11 +181,111 @@ def _deletion_links(lines: DataFrame) -> DataFrame:
     return swapped.unionByName(longer).select(F.least("lid", "b").alias("a"), F.greatest("lid", "b").alias("b"))
 
 
+def _bands(edits) -> list[tuple[int, int]]:
+    """(least length, edits) of all bands of lengths."""
+    bands = list(edits)
+    while (low := int(bands[-1][0] * BAND_GROWTH)) < LAST_BAND:
+        bands.append((low, bands[-1][1]))
+    if any(t not in RULERS or low // (t + 1) <= max(RULERS[t]) for low, t in bands):
+        raise ValueError(f"no band for {edits}")
+    return bands
+
+
+def chunk_keys(line: Column, low: Column, threshold: int, parts: int) -> Column:
+    """An array of (part, key) of a line in the band of least length ``low``, the same for both lines of a pair.
+
+    The first ``low`` characters are cut into ``parts`` chunks of one size. A chunk of one line that no edit
+    touches stands in the other line, shifted by at most ``threshold``. If there is one chunk more than
+    edits, an untouched one has as many edits before it as chunks, so that chunk i (from 1) need only be
+    looked for up to i - 1 away. Both lines give the hashes of the chunk at the offsets of a ruler:
+    for any shift within reach, two of them differ by it.
+    """
+    size, keys = F.floor(low / parts).cast("int"), []
+    for i in range(parts):
+        ruler = RULERS[min(i, threshold) if parts == threshold + 1 else threshold]
+        for x in ruler:
+            key = F.xxhash64(low, F.lit(parts), F.lit(i), F.substring(line, size * i + 1 + x, size - max(ruler)))
+            keys.append(F.struct(F.lit(i).alias("part"), key.alias("key")))
+    return F.array(*keys)
+
+
+def _pairs(keyed: DataFrame) -> DataFrame:
+    """All ``a`` < ``b`` of the ``lid`` that share a ``key``."""
+    right = keyed.select("key", F.col("lid").alias("b"))
+    return keyed.select("key", F.col("lid").alias("a")).join(right, "key").where("a < b").select("a", "b")
+
+
+def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> DataFrame:
+    """Links ``a``, ``b`` between ``lid`` of distinct ``line``s within the edits that ``edits`` allows the shorter one.
+
+    ``edits`` has (least length, edits) ascending; lines below the first length are not compared. Lines
+    meet in bands of lengths; one that is little longer than a band enters that band too. In each, lines
+    that share one of t + 1 chunks are compared pair by pair, unless more than ``crowd`` share it. The lines
+    of such crowded chunks are cut finer: of these chunks, t at most are touched, so that a line with
+    t + 1 fine chunks that are not crowded meets all its neighbours there. Lines with fewer, which differ
+    from the crowd in next to nothing, are compared in pairs within their crowded chunk. No pair is left out.
+    """
+    bands, n = _bands(edits), F.col("n")
+    own, lower, allowed = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("int")
+    for i, (low, t) in enumerate(bands):
+        own, allowed = F.when(n >= low, low).otherwise(own), F.when(n >= low, t).otherwise(allowed)
+        if i:
+            before, reach = bands[i - 1]
+            lower = F.when(n >= low, F.when(n < low + reach, before)).otherwise(lower)
+    # exploded, so that the length is counted once and not in every comparison
+    sized = lines.select("lid", "line", F.explode(F.array(F.length("line"))).alias("n"))
+    banded = sized.select("lid", "line", F.explode(F.array_compact(F.array(own, lower))).alias("low"))
+    edits_of = {t: [low for low, e in bands if e == t] for _, t in bands}
+
+    def keyed_by(rows: DataFrame, parts) -> DataFrame:
+        """Keys of rows of lid, line and low, by ``parts`` of (edits, least length of the band) chunks."""
+        out = []
+        for t, k in sorted({(t, parts(t, low)) for low, t in bands}):
+            lows = [low for low in edits_of[t] if parts(t, low) == k]
+            own = rows.where(F.col("low").between(lows[0], lows[-1]))
+            keys = own.select("lid", "low", F.explode(chunk_keys(F.col("line"), F.col("low"), t, k)).alias("k"))
+            out.append(keys.select("lid", "low", F.lit(t).alias("t"), "k.*"))
+        return reduce(DataFrame.unionByName, out)
+
+    keyed = keyed_by(banded, lambda t, low: t + 1).select("lid", "low", "key")
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
+    shared = written(keyed.join(F.broadcast(sizes) if small(sizes) else sizes, "key"), "line-keys")
+    lids = written(shared.select("lid").distinct(), "line-ids")
+    near = written(lines.join(F.broadcast(lids) if small(lids) else lids, "lid").select("lid", "line"), "near-lines")
+
+    many = shared.where(F.col("n") > crowd)
+    pairs = _pairs(shared.where(F.col("n") <= crowd))
+    crowded = written(many.select("lid", "low").distinct().join(near, "lid"), "crowded-lines")
+    if not crowded.isEmpty():
+        fine = written(keyed_by(crowded, lambda t, low: (2 if low < 180 else 6) * (t + 1)), "fine-keys")
+        fine = written(fine.join(fine.groupBy("key").agg(F.count("*").alias("n")), "key"), "fine-sizes")
+        hard = (
+            fine.groupBy("lid", "low", "t", "part")
+            .agg((F.max("n") <= crowd).alias("free"))
+            .groupBy("lid", "low", "t")
+            .agg(F.count_if("free").alias("free"))
+            .where("free <= t")
+            .select("lid", "low")
+        )
+        pairs = pairs.unionByName(_pairs(fine.where((F.col("n") > 1) & (F.col("n") <= crowd))))
+        pairs = pairs.unionByName(_pairs(many.join(hard, ["lid", "low"], "left_semi")))
+    most = max(edits_of)
+    sides = (
+        pairs.distinct()
+        .join(near.select(F.col("lid").alias("a"), F.col("line").alias("left")), "a")
+        .join(near.select(F.col("lid").alias("b"), F.col("line").alias("right")), "b")
+        .withColumn("n", F.least(F.length("left"), F.length("right")))
+    )
+    # the built-in distance is compiled, and leaves few pairs to the expression
+    close = F.when(F.levenshtein("left", "right", most) >= 0, banded_distance(F.col("left"), F.col("right"), most))
+    return sides.where(close <= allowed).select("a", "b")
+
+
 def repeated_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    threshold: int = 1,
+    threshold: int | tuple = 1,
     least_chars: int = 32,
     exact_chars: int | None = None,
 ) -> DataFrame:
@@ -193,7 +304,8 @@ def repeated_lines(
         .withColumn("lid", F.monotonically_increasing_id()),
         "lines",
     )
-    classes = components(near_lines(distinct.where("line is not null").select("lid", "line"), threshold))
+    join = near_lines if isinstance(threshold, int) else near_by_length
+    classes = components(join(distinct.where("line is not null").select("lid", "line"), threshold))
     linked = distinct.select("lid", "digest", "first", "n").join(
         classes.select(F.col("node").alias("lid"), "component"), "lid", "left"
     )
@@ -217,12 +329,15 @@ def line_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    threshold: int = 1,
+    threshold: int | tuple = 1,
     least_chars: int = 32,
     exact_chars: int | None = None,
 ) -> DataFrame:
     """Drop lines that are equal to an earlier line of the corpus, or within ``threshold`` edits of one.
 
+    ``threshold`` may grow with the length, as (least characters, edits) in ascending order; then the shorter of
+    two lines decides. The registered query and the pipeline use LENGTH_EDITS.
+
     Lines are what newlines separate, without spaces at either end; the first line of each class
     of linked lines, by smallest id and line number, stays. Lines below ``least_chars`` characters
     are not compared by edits, as short ones are too easily confused. Exact copies are dropped from

@@ -12,7 +12,7 @@ from tessera.llm.ctw import ctw_scores
 from tessera.llm.decontaminate import verdicts
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.licenses import license_scan
-from tessera.llm.line_dedup import EXACT_CHARS, line_dedup
+from tessera.llm.line_dedup import EXACT_CHARS, LENGTH_EDITS, line_dedup
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_scores
 from tessera.llm.secrets import secret_report
@@ -50,7 +50,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: its lines, how many were dropped, and a digest of the text that is left."""
-    out = line_dedup(_table(spark, sf_dir, "documents"), exact_chars=EXACT_CHARS)
+    out = line_dedup(_table(spark, sf_dir, "documents"), threshold=LENGTH_EDITS, exact_chars=EXACT_CHARS)
     left = F.coalesce("text", F.lit(""))
     return out.select(
         "doc_id", "n_lines", "n_dropped", F.length(left).alias("chars_left"), F.sha2(left, 256).alias("text_sha256")

@@ -225,3 +225,36 @@ def test_line_dedup_drops_short_copies(spark, tmp_path):
     }
     left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
     assert left == {i: t for i, (t, _) in want.items() if t}
+
+
+@pytest.mark.parametrize("crowd", [50, 2])
+def test_near_by_length(spark, crowd):
+    """Near copies, and families that differ in a few places only, over the bounds of bands."""
+    random.seed(11)
+    text = lambda n: "".join(random.choice("abcdeé") for _ in range(n))
+    base = [text(random.choice([30, 32, 38, 39, 40, 42, 57, 59, 60, 62, 89, 91, 136, 240, 330])) for _ in range(30)]
+    family = text(70)
+    base += [family[:-8] + text(8) for _ in range(12)] + [text(300)[:30] + family * 4 + text(6) for _ in range(6)]
+    lines = sorted({changed(t, random.randrange(5)) for t in base for _ in range(5)} | {"ab" * 40, "ab" * 41, "a" * 80, "a" * 83})
+    sets = Sets(range(len(lines)))
+    allowed = lambda n: (n >= 32) + (n >= 40) + (n >= 60)
+    for i, a in enumerate(lines):
+        for j in range(i):
+            most = allowed(min(len(a), len(lines[j])))
+            if most and abs(len(a) - len(lines[j])) <= most and edits(a, lines[j]) <= most:
+                sets.join(i, j)
+    df = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    got = {r.node: r.component for r in components(ld.near_by_length(df, crowd=crowd)).collect()}
+    assert len({sets.find(i) for i in range(len(lines))}) < len(lines)
+    assert all(got.get(i, i) == sets.find(i) for i in range(len(lines)))
+
+
+def test_line_dedup_edits_grow_with_length(spark, tmp_path):
+    """The registered query: one edit for each 20 characters, up to 3."""
+    words = "The quick brown fox jumps over the lazy dog while seven wizards brew a pot of tea"
+    pair = lambda n, k: f"{words[:n]}\n{'#' * k}{words[k:n]}"
+    cases = [(35, 1, 1), (35, 2, 0), (45, 2, 1), (45, 3, 0), (80, 3, 1), (80, 4, 0)]
+    rows = [(i, "\n".join(chr(65 + i) * 30 + x for x in pair(n - 30, k).split("\n"))) for i, (n, k, _) in enumerate(cases)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_dropped for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
