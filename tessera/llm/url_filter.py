@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lower_ascii, written
+from tessera.llm.common import lower_ascii, small, written
 
 #: (verdict, host and path) of the production rules.
 RULES = (
@@ -91,8 +91,8 @@ def url_verdicts(
 
     The trees learn from URLs that a rule decides, at most ``sample`` of them, those with the smallest
     hash of the URL. Their features are lexical: length, depth, digit ratio, entropy, counts of
-    parameters, and for the host's last label how often it occurs in the sample and the smoothed
-    share that is blocked. The table of labels is no larger than the sample, so that it is broadcast.
+    parameters, and for the host's last label how many of all pages have it and the smoothed share that
+    is blocked, of all those that a rule decides. The table of labels is broadcast if it is small.
     Rules are a short list, checked in the expression.
 
     Null URLs count as empty, with empty host and path. Without both verdicts among the learned rows,
@@ -117,13 +117,17 @@ def url_verdicts(
     )
     out = lexical(ruled)
     if learned.select("label").distinct().count() == 2:
-        stats = learned.groupBy("suffix").agg(
-            F.log1p(F.count("*")).alias("suffix_count"),
-            ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_blocked"),
+        stats = written(
+            out.groupBy("suffix").agg(
+                F.log1p(F.count("*")).alias("suffix_count"),
+                ((F.count_if(F.col("best.verdict") == "block") + 1) / (F.count("best") + 2)).alias("suffix_blocked"),
+            ),
+            "suffixes",
         )
+        stats = F.broadcast(stats) if small(stats) else stats
 
         def vectors(df: DataFrame) -> DataFrame:
-            df = df.join(F.broadcast(stats), "suffix", "left").fillna({"suffix_count": 0.0, "suffix_blocked": 0.5})
+            df = df.join(stats, "suffix")
             return VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(df)
 
         trainer = GBTClassifier(

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from tessera.llm import licenses, secrets
+from tessera.llm import licenses, secrets, url_filter
 from tessera.llm.licenses import license_scan
 from tessera.llm.secrets import secret_report
 from tessera.llm.url_filter import RULES, url_verdicts
@@ -142,3 +142,13 @@ def test_urls_without_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x"), (None, None)], "page_id long, url string")
     assert {r.verdict for r in url_verdicts(pages).collect()} == {"allow"}
     assert url_verdicts(pages.limit(0)).count() == 0
+
+
+def test_suffix_counts_cover_all_pages(spark, monkeypatch):
+    """A suffix that no rule touches counts by all its pages, and the sample doesn't change that."""
+    monkeypatch.setattr(url_filter, "FEATURES", ("suffix_count",))
+    hosts = ["a.com"] * 200 + ["a.net"] * 10 + ["a.org"] * 200
+    pages = spark.createDataFrame([(i, f"http://{h}/es/{i}") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {(r.host, r.verdict) for r in url_verdicts(pages).collect()}
+    assert got == {("a.com", "allow"), ("a.net", "block"), ("a.org", "allow")}  # org is as common as com
+    assert got == {(r.host, r.verdict) for r in url_verdicts(pages, sample=150).collect()}
