@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": sql.EXACT_DEDUP}
+    return {"op2_secrets": sql.SECRETS, "op8_exact_dedup": sql.EXACT_DEDUP}

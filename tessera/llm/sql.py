@@ -8,6 +8,54 @@ WITH t AS (
 g AS (
   SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id
   FROM t GROUP BY text_sha256)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
 FROM t JOIN g USING (text_sha256)
 """
+
+
+def _places(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    """Matches of a pattern with their places: what stands before each match, and the match, add up."""
+    return f"""
+  SELECT r, '{kind}' AS kind, {rank} AS rank, stop - length(m) AS start, stop, m FROM (
+    SELECT r, m, v, sum(length(gap) + length(coalesce(m, ''))) OVER (PARTITION BY r ORDER BY i)::BIGINT AS stop
+    FROM (SELECT r, unnest(string_split_regex(t, '{pattern}')) AS gap, unnest(regexp_extract_all(t, '{pattern}')) AS m,
+                 unnest(regexp_extract_all(t, '{pattern}', {group})) AS v, generate_subscripts(string_split_regex(t, '{pattern}'), 1) AS i FROM d))
+  WHERE length(v) >= {least}"""
+
+
+SECRETS = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS MATERIALIZED ({" UNION ALL ".join([
+    _places("assign", 0, r'''((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)''', 2, 6),
+    _places("access", 1, "AKIA[A-Z0-9]+", 0, 20),
+    _places("hex", 2, "[0-9a-f]+", 0, 24)])}),
+candidate AS ({_places("entropy", 3, "[A-Za-z0-9+/_=-]{20,}", 0, 20)}),
+likely AS (
+  SELECT *, CASE WHEN regexp_matches(m, '^[0-9a-fA-F]+$') THEN 2.9 WHEN regexp_matches(m, '^([0-9a-z]+|[0-9A-Z]+)$') THEN 3.5 ELSE 3.75 END AS least
+  FROM candidate c
+  WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
+    AND NOT regexp_matches(m, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$')
+    AND NOT regexp_matches(m, '(?i)example|sample|dummy|placeholder|changeme|your[-_]?(key|token|secret)|x{{6}}|0{{8}}|12345678|abcdefgh')
+    AND NOT regexp_matches(m, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
+    AND NOT (m LIKE '%/%' AND NOT regexp_matches(m, '[^/]{{16}}|[+=]|[^/][A-Z]'))
+    AND NOT (regexp_matches(m, '[_-]') AND NOT regexp_matches(m, '[+=/]|[0-9][A-Za-z]'))
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.start < c.stop AND c.start < b.stop)),
+chars AS (
+  SELECT r, start, w, unnest(string_split(substr(m, w, 20), '')) AS x
+  FROM (SELECT r, start, m, unnest(generate_series(1, length(m) - 19)) AS w FROM likely)),
+counts AS (SELECT r, start, w, x, count(*) AS n FROM chars GROUP BY ALL),
+bits AS (
+  SELECT r, start, max(h) AS h FROM (SELECT r, start, w, -sum(n / 20 * log2(n / 20)) AS h FROM counts GROUP BY ALL) GROUP BY ALL),
+added AS (SELECT r, kind, rank, likely.start, stop FROM likely JOIN bits USING (r, start) WHERE h >= least),
+by_base AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS line
+  FROM base GROUP BY r),
+every AS (SELECT r, kind, rank, start, stop FROM base UNION ALL SELECT * FROM added),
+by_all AS (
+  SELECT r, count(*) FILTER (kind = 'entropy') AS n_entropy, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+  FROM every GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       coalesce(n_entropy, 0) AS n_entropy, sha256(coalesce(line, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN by_base USING (r) LEFT JOIN by_all USING (r)
+"""

@@ -152,3 +152,22 @@ def test_suffix_counts_cover_all_pages(spark, monkeypatch):
     got = {(r.host, r.verdict) for r in url_verdicts(pages).collect()}
     assert got == {("a.com", "allow"), ("a.net", "block"), ("a.org", "allow")}  # org is as common as com
     assert got == {(r.host, r.verdict) for r in url_verdicts(pages, sample=150).collect()}
+
+
+def test_secrets_in_very_long_tokens_and_many_spans(spark):
+    """No pattern overflows the stack, and the work grows with the text, not with its square."""
+    texts = ["a1/" * 30_000, "Ab1" * 30_000 + "/", "a" * 100_000 + "1", " ".join(f"token=Zx7Qp2Lm5Vt8Rb3Nc6W{i:05d}" for i in range(20_000))]
+    texts.append(" ".join(f"Zx7Qp2Lm5Vt8Rb3Nc6W{i:05d}" for i in range(20_000)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_assign, r.n_entropy) for r in secret_report(docs).collect()}
+    assert got == {0: (0, 0), 1: (0, 0), 2: (0, 0), 3: (20_000, 0), 4: (0, 20_000)}
+    assert secret_report(docs.limit(0)).count() == 0
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1).select(F.array(*[F.lit(i % 7) for i in range(300)]).alias("a"))
+    want = [sum(i % 7 for i in range(n + 1)) for n in range(300)]
+    assert df.select(secrets.running_sums(F.col("a"), 16).alias("s")).first().s == want
+    assert df.select(secrets.running_sums(F.slice("a", 1, 0)).alias("s")).first().s == []
