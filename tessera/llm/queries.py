@@ -11,7 +11,7 @@ from tessera.llm import sql
 from tessera.llm.ctw import ctw_scores
 from tessera.llm.decontaminate import verdicts
 from tessera.llm.exact_dedup import exact_dedup
-from tessera.llm.licenses import license_scan
+from tessera.llm.licenses import BASE, TEMPLATES, license_scan
 from tessera.llm.line_dedup import EXACT_CHARS, LENGTH_EDITS, line_dedup
 from tessera.llm.packing import pack
 from tessera.llm.quality import quality_scores
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": sql.SECRETS, "op8_exact_dedup": sql.EXACT_DEDUP}
+    return {"op2_secrets": sql.SECRETS, "op5_licenses": sql.licenses(BASE, TEMPLATES), "op8_exact_dedup": sql.EXACT_DEDUP}

@@ -59,3 +59,52 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        coalesce(n_entropy, 0) AS n_entropy, sha256(coalesce(line, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN by_base USING (r) LEFT JOIN by_all USING (r)
 """
+
+
+def licenses(base, templates, k: int = 3, gap: int = 2, similarity: float = 0.8, least_votes: int = 4) -> str:
+    """The license scan, for lists of (words, label)."""
+    rows = [(w, x, "true") for w, x in base] + [(w, x, "false") for w, x in templates]
+    given = ", ".join(f"({i}, '{x}', {b}, '{w}')" for i, (w, x, b) in enumerate(rows))
+    over = "PARTITION BY r, tid, span ORDER BY pos, tpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return rf"""
+WITH given(tid, label, base, text) AS (VALUES {given}),
+gram AS (
+  SELECT tid, label, base, len(w) AS size, p - 1 AS tpos, array_to_string(w[p:p + {k - 1}], ' ') AS gram
+  FROM (SELECT *, string_split(text, ' ') AS w, unnest(generate_series(1, len(string_split(text, ' ')) - {k - 1})) AS p FROM given)),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS pos FROM d),
+own AS (
+  SELECT * FROM (SELECT r, pos, x || {" || ".join(f"' ' || lead(x, {j}) OVER (PARTITION BY r ORDER BY pos)" for j in range(1, k))} AS gram FROM word)
+  WHERE gram IS NOT NULL),
+vote AS (SELECT r, tid, label, base, size, pos, tpos, pos - tpos AS diagonal FROM own JOIN gram USING (gram)),
+opened AS (
+  SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, tid ORDER BY diagonal, tpos) > {gap}, true) AS opens,
+         count(*) OVER (PARTITION BY r, tid, diagonal) = size - {k - 1} AS whole FROM vote),
+spanned AS (SELECT *, sum(opens::INT) OVER (PARTITION BY r, tid ORDER BY diagonal, tpos) AS span FROM opened),
+before AS (SELECT *, max(tpos) OVER ({over}) AS most FROM spanned),
+span AS (
+  SELECT r, tid, label, base, size, span, count(*) FILTER (tpos > coalesce(most, -1)) AS votes,
+         sum(CASE WHEN tpos > coalesce(most, -1) THEN least({k}, coalesce(tpos - most, {k})) ELSE 0 END) AS words,
+         min(pos) AS start, max(pos) + {k} AS stop, count(*) FILTER (whole AND tpos = 0) AS places,
+         min(diagonal) FILTER (whole) AS first, max(diagonal) FILTER (whole) AS last
+  FROM before GROUP BY ALL),
+verified AS (SELECT r, label, start, stop, votes / (size - {k - 1}) AS share FROM span
+  WHERE NOT base AND votes >= {least_votes} AND words >= {similarity} * size),
+placed AS (
+  SELECT *, sum(opens::INT) OVER (PARTITION BY r ORDER BY start, stop) AS place FROM (
+    SELECT *, start >= coalesce(max(stop) OVER (PARTITION BY r ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS opens
+    FROM verified)),
+labelled AS (
+  SELECT r, label, places, first, last, true AS base, 1.0::DOUBLE AS share FROM span WHERE base AND places > 0
+  UNION ALL SELECT r, label, NULL, NULL, NULL, false, share FROM placed QUALIFY share = max(share) OVER (PARTITION BY r, place)),
+found AS (
+  SELECT r, sum(places)::BIGINT AS n_base, min(first)::BIGINT AS first_word, max(last)::BIGINT AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+         max(share) AS score
+  FROM labelled GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (r)
+"""

@@ -1,6 +1,7 @@
 """Secret, license and URL scans against plain Python on whole small tables and on edge cases."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -171,3 +172,40 @@ def test_running_sums(spark):
     want = [sum(i % 7 for i in range(n + 1)) for n in range(300)]
     assert df.select(secrets.running_sums(F.col("a"), 16).alias("s")).first().s == want
     assert df.select(secrets.running_sums(F.slice("a", 1, 0)).alias("s")).first().s == []
+
+
+def changed_words(words, n):
+    """``n`` words replaced, dropped or inserted, apart from each other."""
+    out = list(words)
+    for at in sorted(random.sample(range(2, len(out) - 2, 4), n), reverse=True):
+        how = random.random()
+        out[at : at + 1] = ["other"] if how < 0.34 else [] if how < 0.67 else [out[at], "other"]
+    return out
+
+
+def test_license_recall_on_changed_texts_and_order(spark):
+    """One change in each started twenty words; the same words in another order and short phrases give no label."""
+    random.seed(6)
+    rows, shuffled = [], []
+    for text, label in licenses.TEMPLATES:
+        words = text.split()
+        for _ in range(20):
+            rows.append((label, " ".join(["before"] * 3 + changed_words(words, 1 + (len(words) - 1) // 20) + ["after"] * 3)))
+        shuffled.append(" ".join(words[i : i + 4][j] for i in range(len(words) - 4, -1, -4) for j in range(4)))
+    rows += [("", t) for t in shuffled]
+    rows += [("", "they said all rights reserved seats were gone"), ("", "the terms of the gnu are not in this text"), ("", "without warranty of any kind")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan(docs).collect()}
+    planted = [i for i, (label, _) in enumerate(rows) if label]
+    recall, alone = (sum(f(rows[i][0], got[i]) for i in planted) / len(planted) for f in (lambda x, g: x in g.split(","), str.__eq__))
+    print(recall, alone)
+    assert recall >= 0.85 and alone >= 0.75  # what is missed has changes within two words of an end, or in a short notice
+    assert all(got[i] == "" for i, (label, _) in enumerate(rows) if not label)
+
+
+def test_license_rows_with_one_id_or_none(spark):
+    rows = [(None, "under the mit license"), (1, "under the MIT license"), (1, "nothing"), (None, None)]
+    docs = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, row int")
+    got = sorted(((r.doc_id, r.n_words, r.n_base, r.labels) for r in license_scan(docs).collect()), key=str)
+    assert got == [(1, 1, 0, ""), (1, 4, 1, "mit"), (None, 0, 0, ""), (None, 4, 1, "mit")]
+    assert license_scan(docs.limit(0)).count() == 0
