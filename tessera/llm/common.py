@@ -74,9 +74,13 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
-def blocks_of(df: DataFrame, per_partition: int = 2) -> int:
-    """How many blocks of documents to deal out: in proportion to the input's partitions."""
-    return max(8, per_partition * df.rdd.getNumPartitions())
+def smallest_hashes(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """Rows with the smallest hash of ``key``: all of them if ``total``, the count of rows, is small, else about 1.2 times ``n``.
+
+    A filter, so that a bounded sample can be sorted afterwards without ``n`` rows of every partition in one task.
+    """
+    share = min(1.0, 1.2 * n / max(total, 1))
+    return df if share >= 1 else df.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import sql
+from tessera.llm import sql, url_filter
 from tessera.llm.ctw import ctw_scores
 from tessera.llm.decontaminate import verdicts
 from tessera.llm.exact_dedup import exact_dedup
@@ -69,10 +69,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that SQL can express: host, path and the rule that decides."""
+    found = url_filter.url_rules(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("rule_verdict"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"url_rules": url_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": sql.SECRETS, "op5_licenses": sql.licenses(BASE, TEMPLATES), "op8_exact_dedup": sql.EXACT_DEDUP}
+    return {"op2_secrets": sql.SECRETS, "op5_licenses": sql.licenses(BASE, TEMPLATES), "op8_exact_dedup": sql.EXACT_DEDUP, "url_rules": sql.URL_RULES}

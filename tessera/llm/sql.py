@@ -108,3 +108,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
        coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN found USING (r)
 """
+
+
+URL_RULES = r"""
+WITH rules(verdict, rule, host, path) AS (VALUES
+  ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'),
+  ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+cut AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS u, CASE WHEN contains(u, '://') THEN substr(u, instr(u, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT r, page_id, regexp_extract(rest, '^[^/?#]*') AS raw, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM cut),
+best AS (
+  SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS rule_verdict
+  FROM parts p JOIN rules q ON (p.host = q.host OR ends_with(p.host, '.' || q.host)) AND starts_with(p.path, q.path) GROUP BY r)
+SELECT page_id, host, path, rule, rule_verdict FROM parts LEFT JOIN best USING (r)
+"""

@@ -209,3 +209,41 @@ def test_license_rows_with_one_id_or_none(spark):
     got = sorted(((r.doc_id, r.n_words, r.n_base, r.labels) for r in license_scan(docs).collect()), key=str)
     assert got == [(1, 1, 0, ""), (1, 4, 1, "mit"), (None, 0, 0, ""), (None, 4, 1, "mit")]
     assert license_scan(docs.limit(0)).count() == 0
+
+
+def test_url_trees_decide(spark):
+    """Held-out URLs, with and without their suffix, against always saying the more frequent verdict; both verdicts occur."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    for suffixes in (True, False):
+        got = url_verdicts(pages, suffixes=suffixes).collect()
+        held = [(r.verdict, r.block_score > 0.5) for r in got if r.held_out and r.rule]
+        right = sum((v == "block") == b for v, b in held) / len(held)
+        blocked = sum(v == "block" for v, _ in held) / len(held)
+        undecided = [r.verdict for r in got if r.rule is None]
+        print(suffixes, len(held), right, max(blocked, 1 - blocked), {v: undecided.count(v) for v in set(undecided)})
+        assert right > max(blocked, 1 - blocked) + 0.05
+        assert set(undecided) == {"allow", "block"}
+
+
+def plain_entropy(text):
+    from math import log2
+
+    return -sum(text.count(c) / len(text) * log2(text.count(c) / len(text)) for c in set(text)) if text else 0.0
+
+
+def test_url_features(spark):
+    urls = ["", "http://a.com", "https://www.b-c.d.org/x/y.html?a=1&b=22#z", "http://h/" + "p9/" * 2000]
+    df = url_filter.lexical(url_filter.url_rules(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")))
+    for r in df.collect():
+        host, path, *_ = plain_rule(r.url)
+        query = re.search(r"\?([^#]*)", r.url)
+        assert (r.length, r.host_length, r.labels, r.depth) == (len(r.url), len(host), host.count("."), path.count("/"))
+        assert r.digit_ratio == pytest.approx(sum(c in "0123456789" for c in r.url) / max(len(r.url), 1))
+        assert r.entropy == pytest.approx(plain_entropy(r.url))
+        assert r.parameters == (query[1].count("&") + 1 if query and query[1] else 0)
+        assert (r.hyphens, r.secure) == (r.url.count("-"), float(r.url.startswith("https:")))
+
+
+def test_urls_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(i, f"http://a.{t}/es/{i}", "x", 1) for i in range(60) for t in ("com", "net")], "page_id long, url string, suffix string, label int")
+    assert url_verdicts(pages).count() == 120
