@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, written
+from tessera.llm.common import small, text_of, written
 
 #: Units of measure and number words that count as parameters of a question.
 UNITS = (
@@ -177,87 +177,115 @@ def _both(item: Column, doc: Column) -> Column:
     return F.concat(F.substring_index(item, SEP, -1), F.lit(SEP), F.substring_index(doc, SEP, -1))
 
 
-def contamination(
+def digest(text_col: str) -> Column:
+    """What stands for a text: whether it is contaminated depends on the text alone."""
+    return F.unhex(F.md5(text_of(text_col)))
+
+
+def _occurrences(votes: DataFrame, by: list[str], k: int) -> DataFrame:
+    """For each group of votes: how many of the item's words count as covered, and what its parameters are like.
+
+    Parameters are consistent if each value of the item stands for one value in the document (two may stand
+    for the same one). If they aren't, only windows without parameters count.
+    """
+    pairs = F.array_distinct(F.flatten(F.collect_set("slots")))
+    found = votes.groupBy(*by).agg(
+        F.collect_set("ipos").alias("at"), F.collect_set(F.when(F.size("slots") == 0, F.col("ipos"))).alias("bare"), pairs.alias("pairs")
+    )
+    left = F.transform("pairs", lambda x: F.substring_index(x, SEP, 1))
+    found = found.withColumn("slots_consistent", F.size(F.array_distinct(left)) == F.size("pairs"))
+    counted = F.when(F.col("slots_consistent"), F.col("at")).otherwise(F.col("bare"))
+    words = F.array_distinct(F.flatten(F.transform(counted, lambda p: F.sequence(p, p + k - 1))))
+    same = F.forall("pairs", lambda x: F.substring_index(x, SEP, 1) == F.substring_index(x, SEP, -1))
+    return found.select("digest", "item_id", "size", F.size(words).alias("covered"), "slots_consistent", same.alias("same"))
+
+
+def text_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
     k: int = 5,
     similarity: float = 0.8,
     least_words: int = 8,
+    gap: int = 2,
 ) -> DataFrame:
-    """Find documents that hold a benchmark item, word for word or with other parameters.
-
-    Words become canonical tokens, in which numbers, names and units are typed placeholders.
-    Windows of ``k`` tokens of documents and items are joined by hash; document windows pass a
-    fixed-size bit set of the benchmark's hashes first, so that next to nothing else is shuffled.
-    Matches of a document and an item on one diagonal (position in the document less that in the
-    item) are one occurrence. Its parameters must be consistent: each value of the item stands for
-    one value in the document, and the other way round; otherwise only its windows without
-    parameters count. A document is contaminated by an item if the windows that count cover at
-    least ``similarity`` of the item's words.
-
-    Items below ``least_words`` words can't be told from chance and are not looked for. Null texts
-    count as empty. Rows of one id count as one document or item; rows with a null id are never
-    reported. Columns other than the four named are not read.
-
-    Returns a row for each document and item with common windows: doc_id, item_id, coverage (share
-    of the item's words), slots_consistent, contaminated.
-    """
+    """The same as ``contamination``, by ``digest`` of a text: digest, item_id, coverage, slots_consistent, contaminated."""
     if least_words < k:
         raise ValueError("least_words must be k or more")
     spark = docs.sparkSession
     own = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).cast("string").alias("text"))
     items = written(
-        _scan(own.where("id is not null"), k)
-        .where(F.col("size") >= least_words)
-        .select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "hash", F.col("slots").alias("islots"), "size"),
+        _scan(own.where("id is not null"), k).select(
+            F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "hash", F.col("slots").alias("islots"), "size"
+        ),
         "benchmark-windows",
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    rows = docs.select(digest(text_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = _scan(rows, k, _filter(spark, items)).drop("size")
-    met = found.join(F.broadcast(items) if small(items) else items, "hash").select(
-        F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"), "ipos", "size",
-        F.zip_with("islots", "slots", _both).alias("slots"),
-    )
-    occurrence = (
-        met.groupBy("doc_id", "item_id", "size", "diagonal")
-        .agg(
-            F.collect_set("ipos").alias("at"),
-            F.collect_set(F.when(F.size("slots") == 0, F.col("ipos"))).alias("bare"),
-            F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
-        )
-        .withColumn("left", F.transform("slots", lambda x: F.substring_index(x, SEP, 1)))
-        .withColumn("right", F.transform("slots", lambda x: F.substring_index(x, SEP, -1)))
-        .withColumn(
-            "consistent",
-            (F.size(F.array_distinct("left")) == F.size("slots")) & (F.size(F.array_distinct("right")) == F.size("slots")),
-        )
-        .withColumn("at", F.when(F.col("consistent"), F.col("at")).otherwise(F.col("bare")))
+    votes = (
+        found.join(F.broadcast(items) if small(items) else items, "hash")
+        .groupBy(F.col("id").alias("digest"), "item_id", "size", F.expr("pos - ipos").alias("diagonal"), "ipos")
+        .agg(F.first(F.zip_with("islots", "slots", _both)).alias("slots"))
     )
-    covered = F.size(
-        F.array_distinct(
-            F.flatten(F.transform(F.flatten(F.collect_list("at")), lambda p: F.sequence(p, p + k - 1)))
-        )
+    votes = written(
+        votes.selectExpr("*", "count(*) over (partition by digest, item_id, diagonal) as votes").selectExpr(
+            "*", f"coalesce(diagonal - lag(diagonal) over (partition by digest, item_id order by diagonal, ipos) > {gap}, true) as opens"
+        ).selectExpr("*", "sum(int(opens)) over (partition by digest, item_id order by diagonal, ipos) as span"),
+        "benchmark-votes",
     )
-    by_item = occurrence.groupBy("doc_id", "item_id", "size").agg(
-        covered.alias("covered"), F.bool_and("consistent").alias("slots_consistent")
+    key = ["digest", "item_id", "size", "span"]
+    # of a span's votes for one place of the item, the one on the diagonal with the most counts
+    merged = votes.groupBy(*key, "ipos").agg(F.max_by("slots", F.struct("votes", -F.col("diagonal"))).alias("slots"))
+    straight = _occurrences(votes, ["digest", "item_id", "size", "diagonal"], k)
+    best = (
+        straight.unionByName(_occurrences(merged, key, k))
+        .groupBy("digest", "item_id", "size")
+        .agg(F.max(F.struct("covered", "slots_consistent", "same")).alias("b"))
+        .select("digest", "item_id", "size", "b.*")
     )
     share = F.col("covered") / F.col("size")
-    return by_item.select(
-        "doc_id", "item_id", share.alias("coverage"), "slots_consistent", (share >= similarity).alias("contaminated")
-    )
+    whole = (F.col("covered") >= F.col("size") - 1) & F.col("same")
+    hit = F.when(F.col("size") >= least_words, share >= similarity).otherwise(whole)
+    return best.select("digest", "item_id", share.alias("coverage"), "slots_consistent", hit.alias("contaminated"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Find documents that hold a benchmark item, word for word or with other parameters.
+
+    Words become canonical tokens, in which numbers, names and units are typed placeholders.
+    Windows of ``k`` tokens of documents and items are joined by hash; document windows pass a
+    fixed-size bit set of the benchmark's hashes first, so that next to nothing else is shuffled.
+    Matches of a document and an item on one diagonal (position in the document less that in the
+    item) are one occurrence; so are those on neighbouring diagonals, up to ``gap`` apart, as after
+    an inserted or a missing word. Over the whole occurrence its parameters must be consistent: each value of the
+    item stands for one value in the document; otherwise only its windows without
+    parameters count. A document is contaminated by an item if the windows of one occurrence that count cover at
+    least ``similarity`` of the item's words.
+
+    Items below ``least_words`` words are only found whole, with one word missing at most and the same parameters.
+    Items below ``k`` words can't be told from chance and are not looked for, nor are items with a null id.
+    Null texts count as empty. Items that share an id count as one. Every document is judged by its
+    text: ids may be null or repeat. Columns other than the four named are not read. Empty tables give an empty result.
+
+    Returns a row for each document and item with common windows: doc_id, item_id, coverage (share
+    of the item's words, of the best occurrence), slots_consistent (of that one), contaminated.
+    """
+    found = text_contamination(docs, benchmark, text_col, **options)
+    ids = docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("digest"))
+    return ids.join(found, "digest").select("doc_id", "item_id", "coverage", "slots_consistent", "contaminated")
 
 
-def verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """A row for each id: its best matched item (the smallest among equals) or nulls, coverage, contaminated."""
+def verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """A row for each row of ``docs``: its best matched item (the smallest among equals) or nulls, coverage, contaminated."""
     best = (
-        contamination(docs, benchmark, id_col, **options)
-        .groupBy("doc_id")
-        .agg(F.min(F.struct(-F.col("coverage"), "item_id", "coverage", "slots_consistent", "contaminated")).alias("b"))
-        .select("doc_id", "b.item_id", "b.coverage", "b.slots_consistent", "b.contaminated")
+        text_contamination(docs, benchmark, text_col, **options)
+        .groupBy("digest")
+        .agg(F.min(F.struct(~F.col("contaminated"), -F.col("coverage"), "item_id", "coverage", "slots_consistent", "contaminated")).alias("b"))
+        .select("digest", "b.item_id", "b.coverage", "b.slots_consistent", "b.contaminated")
     )
-    ids = docs.select(F.col(id_col).alias("doc_id")).distinct()
-    return ids.join(best, "doc_id", "left").fillna({"coverage": 0.0, "contaminated": False})
+    best = written(best, "contaminated-texts")
+    ids = docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("digest"))
+    found = ids.join(F.broadcast(best) if small(best) else best, "digest", "left").drop("digest")
+    return found.fillna({"coverage": 0.0, "contaminated": False})

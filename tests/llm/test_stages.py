@@ -77,10 +77,47 @@ def test_decontamination_templates(spark):
     assert not found[3].contaminated and not found[3].slots_consistent
     assert not found[10].contaminated and 0.5 < found[10].coverage < 0.8
     got = {r.doc_id: r.contaminated for r in verdicts(docs, items).collect()}
-    assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 10: False, None: False}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 10: False, None: True}
     assert contamination(docs.limit(0), items).count() == contamination(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_spans_and_short_items(spark):
+    """Slots are checked over a whole occurrence: a word inserted between its parts doesn't hide that they differ."""
+    items = spark.createDataFrame([(7, QUESTION), (8, "who wrote seven songs about winter"), (9, "only four words here")], "item_id long, text string")
+    broken = QUESTION.replace("Berlin", "Madrid", 1)
+    rows = [
+        (1, "x\n" + broken.replace("travels", "slowly travels")), (2, "x\n" + QUESTION.replace("travels", "slowly travels")),
+        (3, "he asked who wrote seven songs about winter and left"), (4, "he asked who wrote nine songs about winter"), (5, "only four words here"),
+        (6, QUESTION.replace("Vienna", "Berlin")), (None, "x\n" + QUESTION), (1, "nothing of it"),
+    ]
+    docs = spark.createDataFrame([(i, t, b"x") for i, t in rows], "doc_id long, text string, digest binary")
+    got = sorted(((r.doc_id, r.contaminated) for r in verdicts(docs, items).collect()), key=str)
+    assert got == [(1, False), (1, False), (2, True), (3, True), (4, False), (5, False), (6, True), (None, True)]
+
+
+def test_decontamination_recall_on_new_parameters(spark):
+    """Questions drawn again with other numbers, names and units are found; with one value drawn twice, they aren't."""
+    random.seed(9)
+    names, units = ["Berlin", "Madrid", "Oslo", "Rome", "Lima", "Cairo", "Delhi", "Kyoto"], ["miles", "hours", "liters", "pounds", "days"]
+    plain = "the train leaves and then stops near a small bridge before it turns back while people wait for some more news".split()
+    items, docs, crossed = [], [], []
+    for i in range(80):
+        shape = random.sample(plain, 14)
+        places = sorted(random.sample(range(1, 14), 4))
+        kinds = [random.choice("nnau") for _ in places]
+        draw = lambda: {k: {"n": str(random.randrange(2, 999)), "a": random.choice(names), "u": random.choice(units)}[t] for k, t in zip(places, kinds, strict=True)}  # noqa: E731, B023
+        fill = lambda values: " ".join(values.get(k, w) for k, w in enumerate(shape))  # noqa: E731, B023
+        own = draw()
+        items.append((i, fill(own) + f" so what is {own[places[0]]} here"))
+        new = draw()
+        docs.append((i, "some words stand before it " + fill(new) + f" so what is {new[places[0]]} here and some after"))
+    known = spark.createDataFrame(items, "item_id long, text string")
+    got = verdicts(spark.createDataFrame(docs, "doc_id long, text string"), known).collect()
+    recall = sum(r.contaminated and r.item_id == r.doc_id for r in got) / len(docs)
+    print(recall)
+    assert recall >= 0.9
+
+
 def test_decontamination_on_documents(spark):
     """Documents that hold an item's words in a row, by brute force."""
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
