@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +23,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; the warehouse where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that the cluster names in ``spark.checkpoint.dir``; the warehouse where it is unset.
+
+    A warehouse on the driver's own disk is refused on a cluster, as executors don't share it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if re.match(r"file:|/", base) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: {base} is the driver's own")
     return f"{base.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
 
 
@@ -29,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage: a lost executor costs the tasks that read the table, not the work
-    that made it. Tables are removed when the application ends, or by ``dropped``.
+    that made it. Tables are removed when the application ends, by ``dropped``, or at the end of ``temporary``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -40,6 +50,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that ``written`` makes in this block when it ends, but for the one given to what it yields."""
+    start, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles())
+        return df
+
+    yield keep
+    for spark, path in _written[start:]:
+        if path.rsplit("/", 1)[-1] not in kept:
+            _delete(spark, path)
+    _written[start:] = [x for x in _written[start:] if x[1].rsplit("/", 1)[-1] in kept]
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table that ``written`` returned and that no plan reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -83,6 +109,7 @@ def smallest_hashes(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
     return df if share >= 1 else df.where(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table, already written, has few enough rows to broadcast."""
+def small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether a table, already written, has few enough rows to broadcast: ``rows``, or BROADCAST_ROWS."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return df.limit(rows + 1).count() <= rows

@@ -304,8 +304,10 @@ def repeated_lines(
         .withColumn("lid", F.monotonically_increasing_id()),
         "lines",
     )
-    join = near_lines if isinstance(threshold, int) else near_by_length
-    classes = components(join(distinct.where("line is not null").select("lid", "line"), threshold))
+    compared = distinct.where("line is not null").select("lid", "line")
+    if isinstance(threshold, int) and least_chars // (threshold + 1) > max(RULERS.get(threshold, (least_chars,))):
+        threshold = ((least_chars, threshold),)
+    classes = components(near_lines(compared, threshold) if isinstance(threshold, int) else near_by_length(compared, threshold))
     linked = distinct.select("lid", "digest", "first", "n").join(
         classes.select(F.col("node").alias("lid"), "component"), "lid", "left"
     )
@@ -343,7 +345,11 @@ def line_dedup(
     are not compared by edits, as short ones are too easily confused. Exact copies are dropped from
     ``exact_chars`` characters on, ``least_chars`` if that is None; the registered query and the
     pipeline drop them at any length (EXACT_CHARS). Empty lines always stay. Exact copies are collapsed by
-    digest before the edit join, so that a line with any number of copies is one row there.
+    digest before the edit join, so that a line with any number of copies is one row there. Lines are compared by
+    ``near_by_length``, but if ``least_chars`` is too short for its bands, by ``near_lines``.
+
+    The numbers of dropped lines are joined to the documents: broadcast up to BROADCAST_LINES of them, beyond that by a
+    shuffle of the texts, once.
 
     Null text counts as empty, and empty text has one empty line. Lines of rows with a null id stay
     and don't count as earlier lines. Rows that repeat an id are treated as one document. An empty
@@ -356,13 +362,17 @@ def line_dedup(
     dropped = drops.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0]
     if dropped <= BROADCAST_LINES:
         drops = F.broadcast(drops)
-    lines = F.split(text_of(text_col), "\n")
-    none = F.array().cast("array<int>")
-    joined = docs.join(drops.select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop")), F.col(id_col) == F.col("_id"), "left")
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.coalesce("_drop", none), i))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumns({
-        "n_lines": F.size(lines),
-        "n_dropped": F.coalesce(F.array_size("_drop"), F.lit(0)),
-    })
-    return out.withColumn(text_col, text).drop("_id", "_drop")
+    # the row is a struct, so that no column of it can clash
+    rows = docs.select(F.struct(*[_quoted(c) for c in docs.columns]).alias("row"))
+    joined = rows.join(drops, F.col("row")[id_col] == drops["doc_id"], "left")
+    own, none = F.col("row")[text_col], F.array().cast("array<int>")
+    lines = F.split(F.coalesce(own.cast("string"), F.lit("")), "\n")
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.coalesce("drop", none), i))
+    text = F.when(F.col("drop").isNull(), own).otherwise(F.array_join(kept, "\n"))
+    new = {text_col: text, "n_lines": F.size(lines), "n_dropped": F.coalesce(F.array_size("drop"), F.lit(0))}
+    names = [*docs.columns, *[n for n in new if n not in docs.columns]]
+    return joined.select(*[new.get(n, F.col("row")[n]).alias(n) for n in names])
+
+
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"

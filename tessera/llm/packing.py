@@ -50,10 +50,14 @@ def pack(
 ) -> DataFrame:
     """Place every document in a length bucket and in a batch of at most ``budget`` padded tokens.
 
+    A document in a bucket whose bound is over ``budget`` has a batch to itself, which is marked ``over_budget``: texts
+    are not cut here.
+
     A token is a run of non-space characters. The global histogram of lengths, summed on the
     executors, goes to the driver in geometric cells of at most 1/256 of the length (exact below
     512), so that its size doesn't grow with the corpus. Dynamic programming chooses the bounds of
-    the ``buckets`` buckets with the least padding. A bucket of bound L makes batches of
+    the ``buckets`` buckets with the least padding, to within what the cells pool: padding above the optimum's is at most
+    1/256 of the tokens. A bucket of bound L makes batches of
     max(1, budget // L) documents, the last one maybe fewer.
 
     Places in a bucket are dealt in groups: documents are numbered within (bucket, hash group), groups
@@ -64,7 +68,7 @@ def pack(
     empty table gives an empty result. Other columns are not read.
 
     Returns doc_id, n_tokens, bucket (from 0), bucket_tokens (its bound), batch (from 0 in each bucket),
-    slot (from 0 in each batch), padding.
+    slot (from 0 in each batch), padding, over_budget.
     """
     spark = docs.sparkSession
     tokens = F.regexp_count(text_of(text_col), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
@@ -101,5 +105,6 @@ def pack(
             F.floor(F.col("place") / per_batch).alias("batch"),
             (F.col("place") % per_batch).alias("slot"),
             (limit - F.col("n_tokens")).alias("padding"),
+            (limit > budget).alias("over_budget"),
         )
     )

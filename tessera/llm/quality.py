@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fold
+from tessera.llm.common import fold, smallest_hashes
 
 FEATURES = (
     "log_chars", "word_length", "upper_ratio", "symbol_ratio", "digit_ratio", "other_ratio", "space_ratio",
@@ -187,23 +187,25 @@ def quality_scores(
     with several labels the largest counts. Scores use features of the text alone.
 
     Null text counts as empty and gets a score like any text; a null id is in the held-out fold.
-    Repeated rows are scored alike. Without labels every score is 0.5. ``keep`` names columns
-    passed through, none of them doc_id; others are not read. Features are computed in the pass
+    Repeated rows are scored alike, and learned from once. Without labels every score is 0.5. ``keep`` names columns
+    passed through, none of them doc_id, _text or a name that is returned; others are not read. Features are computed in the pass
     that scores, so that nothing is shuffled but the labels.
 
     Returns doc_id, held_out, score, predicted (1 from ``threshold`` on) and ``keep``.
     """
     held_out = fold(F.col("doc_id"), folds) == 0
+    marked = labels.where("quality in (0, 1)").where(~held_out).select("doc_id", F.col("quality").alias("_y"))
     marked = (
-        labels.where("quality in (0, 1)")
-        .where(~held_out)
+        smallest_hashes(marked, "doc_id", sample, marked.count())
         .groupBy("doc_id")
-        .agg(F.max("quality").alias("_y"))
+        .agg(F.max("_y").alias("_y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *keep)
-    learned = rows.select("doc_id", "_text").join(F.broadcast(marked), "doc_id").select("_text", "_y")
+    # of rows that repeat an id, one text is learned from
+    learned = rows.select("doc_id", "_text").join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
+    learned = learned.select("_text", "_y")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from tessera.llm import common, ctw, line_dedup, packing, queries
 from tessera.llm.decontaminate import contamination, verdicts
 from tessera.llm.packing import best_bounds, pack
 from tessera.llm.quality import FEATURES, features, fit, quality_scores
@@ -179,3 +180,90 @@ def test_pipeline(spark):
     assert not any(r.contaminated for r in verdicts(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect())
     packed = corpus_pipeline.run(spark, SF)
     assert sorted(r.doc_id for r in packed.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+ODD = [
+    (1, None), (2, ""), (3, " \n "), (4, "One short line.\nA line that stands here twice and is long enough to compare.\nOne short line."),
+    (4, "the same id with another text in it and some more words to read"), (None, "One short line.\nA text without an id."), (5, "word " * 60_000),
+    (6, "A line that stands here twice and is long enough to compare!\nand one more"),
+    (7, "x\n" + QUESTION), (None, "y\n" + QUESTION), (7, "x\n" + QUESTION),
+]
+CLASHES = "score predicted held_out _text _id _drop drop n_lines n_dropped digest component_id fingerprint item_id row fp kept batch".split()
+
+
+@pytest.fixture
+def odd_dir(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in ODD], "doc_id long, text string, n_chars long")
+    docs = docs.selectExpr("*", *[f"{i} as {c}" for i, c in enumerate(CLASHES)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, QUESTION)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, quality int").where("false").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, odd_dir, name):
+    """Nulls, empty and long texts, repeated ids, clashing columns and no rows at all."""
+    docs, stage = spark.read.parquet(f"{odd_dir}/documents.parquet"), dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, docs.limit(0), odd_dir).count() == 0
+    out = stage(spark, docs, odd_dir)
+    if name == "packing":
+        assert out.count() == len(ODD)
+        return
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert all(r[c] == i for r in got for i, c in enumerate(CLASHES))
+    left = sorted(((r.doc_id, r.text) for r in got), key=str)
+    if name == "quality":  # without labels the score is 0.5
+        want = ODD
+    elif name == "simhash":
+        want = [(i, t) for i, t in ODD if i not in (2, 3)]
+    elif name == "decontamination":
+        want = [(i, t) for i, t in ODD if QUESTION not in (t or "")]
+    else:
+        twice = "A line that stands here twice and is long enough to compare."
+        changed = {(4, ODD[3][1]): f"One short line.\n{twice}", (6, ODD[7][1]): "and one more"}
+        want = [(i, changed.get((i, t), t)) for i, t in ODD]
+        assert all(r.n_chars == len(r.text or "") for r in got)
+    assert left == sorted(want, key=str)
+
+
+def test_pipeline_on_odd_rows(spark, odd_dir):
+    assert corpus_pipeline.run(spark, odd_dir).count() > 0
+
+
+def test_pack_marks_what_is_over_the_budget(spark):
+    docs = spark.createDataFrame([(1, "w " * 50_000), (2, "a b")], "doc_id long, text string")
+    assert {r.doc_id: r.over_budget for r in pack(docs).collect()} == {1: True, 2: False}
+
+
+def test_quality_learns_from_repeated_rows_once(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    once = {r.doc_id: r.score for r in quality_scores(docs, labels).collect()}
+    assert once == {r.doc_id: r.score for r in quality_scores(docs.union(docs).union(docs), labels).collect()}
+
+
+def test_scratch_folder_is_not_the_drivers_on_a_cluster(spark):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: None if "checkpoint" in k else "file:/home/x/spark-warehouse")})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "a"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="share"):
+        common.shared_dir(Cluster)
+
+
+@pytest.mark.parametrize("name", ["op1_ctw", "op3_packing", "op4_simhash", "op6_url_filter", "op7_line_dedup", "op9_decontamination"])
+def test_sizes_that_switch_the_plan_do_not_change_the_result(spark, monkeypatch, name):
+    """Broadcast or shuffled, in few blocks or many: the rows are the same."""
+    sf = "/root/testdata/sf0.001"
+    plain = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+    want = plain(queries.queries()[name](spark, sf))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 3)
+    monkeypatch.setattr(packing, "GROUPS", 2)
+    monkeypatch.setattr(ctw, "PENDING", 20_000)
+    monkeypatch.setattr(ctw, "BLOCK", 40_000)
+    got = plain(queries.queries()[name](spark, sf))
+    if name == "op3_packing":  # which batch a row is in depends on its group
+        got, want = ([(r[0], r[1], r[2], r[3], r[6], r[7]) for r in x] for x in (got, want))
+    assert got == want
