@@ -20,6 +20,8 @@ EDGE = 0xFF
 CHUNK = 500_000
 #: Grams that wait to be merged into those of a block, about.
 PENDING = 1_000_000
+#: Grams whose trees are held at a time, about.
+PIECE = 250_000
 #: Bytes of text in a block, about: what one task reduces to its distinct grams.
 BLOCK = 36_000_000
 
@@ -121,20 +123,59 @@ def mixed(node: dict[str, np.ndarray], mean: np.ndarray, rest: np.ndarray) -> tu
     return mean + rest * node["weight"] * kt, rest * (1 - node["weight"])
 
 
+def pieces(grams: np.ndarray, counts: np.ndarray, size: int | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Grams of one context of two bytes, dealt by the byte before it into parts of about ``size``, PIECE unless given.
+
+    Where each part's grams stand, the grams and their counts. A part has whole subtrees from depth 3 on.
+    """
+    byte = (grams >> 24) & 255
+    order = np.argsort(byte, kind="stable")
+    ends = np.cumsum(np.bincount(byte, minlength=256))
+    cuts, last = [], 0
+    for end in ends.tolist():
+        if end - last >= (size or PIECE):
+            cuts.append(end)
+            last = end
+    return [(at, grams[at], counts[at]) for at in np.split(order, cuts) if len(at)]
+
+
+def joined_nodes(levels_of: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """The nodes of all parts, one part after the other."""
+    return {x: np.concatenate([n[x] for n in levels_of]) for x in ("keys", "zeros", "ones", "log_w", "weight")}
+
+
+def upper_levels(parts, depth: int) -> tuple[list, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """All levels of the only part (else none are kept), the nodes of depth 3, or ``depth`` if less, and those of depth 2."""
+    found = [levels(g, n, depth, min(3, depth)) if i == 0 else levels(g, n, depth, min(3, depth))[-1:] for i, (_, g, n) in enumerate(parts)]
+    third = joined_nodes([f[-1] for f in found])
+    return found[0] if len(parts) == 1 else [], third, parents(third, 2) if depth > 2 else third
+
+
 def gram_log10(grams: np.ndarray, counts: np.ndarray, depth: int, top_keys, top_mean, top_rest) -> np.ndarray:
-    """log10 probability of each gram's symbol after its context, mixed over all depths.
+    """log10 probability of each gram's symbol after its context, mixed over all depths, for grams of one context of two bytes.
 
-    The ``top_`` arrays have the mixture down to depth 1, by (byte before, tree).
+    The ``top_`` arrays have the mixture down to depth 1, by (byte before, tree). The trees below depth 2 are worked on in parts.
     """
-    found = levels(grams, counts, depth, 2)
-    where = np.searchsorted(top_keys, found[-1]["keys"] & 0xFFFF)
+    parts, out = pieces(grams, counts), np.zeros(len(grams))
+    only, third, second = upper_levels(parts, depth)
+    where = np.searchsorted(top_keys, second["keys"] & 0xFFFF)
     mean, rest = top_mean[where], top_rest[where]
-    for i in range(len(found) - 1, -1, -1):
-        mean, rest = mixed(found[i], mean, rest)
-        if i:  # to the nodes below
-            mean, rest = mean[found[i]["at"]], rest[found[i]["at"]]
-    one = mean[found[0]["at"]]
-    return np.log10(np.where(found[0]["bit"] == 1, one, 1 - one)).reshape(-1, 8).sum(axis=1)
+    if depth > 2:
+        mean, rest = mixed(second, mean, rest)
+        mean, rest = mean[second["at"]], rest[second["at"]]
+    start = 0
+    for at, own, n in parts:
+        found = only or levels(own, n, depth, min(3, depth))
+        end = start + len(found[-1]["keys"])
+        m, r = mean[start:end], rest[start:end]
+        start = end
+        for i in range(len(found) - 1, -1, -1):
+            m, r = mixed(found[i], m, r)
+            if i:  # to the nodes below
+                m, r = m[found[i]["at"]], r[found[i]["at"]]
+        one = m[found[0]["at"]]
+        out[at] = np.log10(np.where(found[0]["bit"] == 1, one, 1 - one)).reshape(-1, 8).sum(axis=1)
+    return out
 
 
 class Lookup:
@@ -172,11 +213,10 @@ def ctw_scores(
     learned from unless crc32(id as text) mod ``folds`` is 0. The base score is a unigram model of
     space-separated words, with an end token after each text.
 
-    Documents are dealt into blocks of about BLOCK bytes by hash. Each block is reduced to its distinct grams (a byte and
+    Documents are dealt into blocks of about BLOCK bytes by hash, a partition for each. Each block is reduced to its distinct grams (a byte and
     the ``depth`` before it) and words with training counts; only those are summed over the
     corpus, and their probabilities return to the blocks that have them. Grams are grouped by the
-    two bytes before the symbol: a group has at most 256^(``depth`` - 1) grams however large the
-    corpus. Only the nodes of depth 1, at most 65,280, go to the driver and to all executors.
+    two bytes before the symbol, and the trees of a group are built part by part, by the byte before those. Only the nodes of depth 1, at most 65,280, go to the driver and to all executors.
 
     Null text counts as empty: its end is scored. A null id is in the held-out fold. Repeated rows are
     learned from and scored each. With no training text every bit has probability 1/2. An empty
@@ -195,6 +235,7 @@ def ctw_scores(
         (fold(F.col("doc_id"), folds) == 0).alias("held_out"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"),
     )
+    rows = rows.repartitionById(blocks, "block")
     stats = written(
         rows.groupBy("block").applyInArrow(
             lambda table: _block_stats(table, depth), "block int, gram bigint, token binary, n bigint"
@@ -241,7 +282,7 @@ def ctw_scores(
     )
     return (
         rows.groupBy("block")
-        .cogroup(answers.groupBy("block"))
+        .cogroup(answers.repartitionById(blocks, "block").groupBy("block"))
         .applyInArrow(lambda a, b: _block_scores(a, b, depth, total, distinct, smoothing), schema)
     )
 
@@ -300,7 +341,7 @@ def _nodes(level: dict[str, np.ndarray]) -> pa.Table:
 
 def _up_grams(table: pa.Table, depth: int) -> pa.Table:
     """Nodes of depth 2 from a group of grams."""
-    return _nodes(levels(table.column("gram").to_numpy(), table.column("n").to_numpy(), depth, 2)[-1])
+    return _nodes(upper_levels(pieces(table.column("gram").to_numpy(), table.column("n").to_numpy()), depth)[2])
 
 
 def _up_nodes(table: pa.Table) -> pa.Table:

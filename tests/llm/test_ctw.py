@@ -4,8 +4,10 @@ import zlib
 from collections import Counter
 from math import exp, lgamma, log, log10
 
+import numpy as np
 import pytest
 
+from tessera.llm import ctw
 from tessera.llm.ctw import ctw_scores
 
 DEPTH = 3
@@ -88,6 +90,31 @@ def test_against_the_definition(spark):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
+@pytest.mark.parametrize("piece", [250_000, 3])
+def test_against_the_definition_at_full_depth(spark, monkeypatch, piece):
+    """Depth 5, as registered; very long and repeated texts, extra columns, and trees built in small parts."""
+    monkeypatch.setattr(ctw, "PIECE", piece)
+    rows = [(i, t) for i, t in enumerate(TEXTS * 2)] + [(3, "long text " * 3000), (3, "long text " * 3000), (None, "again"), (None, "again")]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, block int, score string")
+    order = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
+    got = sorted(map(tuple, ctw.ctw_scores(docs).drop("bits_per_byte").collect()), key=order)
+    want = sorted(plain(rows, 5), key=order)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
+def test_trees_in_parts():
+    """Cutting a context's grams into parts changes nothing."""
+    rng = np.random.default_rng(3)
+    grams = np.unique((rng.integers(0, 256, 3000) << 40) | (rng.integers(0, 256, 3000) << 24) | (0x6565 << 8) | rng.integers(0, 256, 3000))
+    counts = rng.integers(0, 9, len(grams))
+    parts = ctw.pieces(grams, counts, 100)
+    assert len(parts) > 10 and sorted(np.concatenate([p[0] for p in parts]).tolist()) == list(range(len(grams)))
+    one, many = (ctw.upper_levels(ctw.pieces(grams, counts, n), 5)[2] for n in (10**9, 100))
+    assert all(np.allclose(one[x], many[x]) for x in ("keys", "zeros", "ones", "log_w"))
+
+
 def test_no_rows_and_no_training(spark):
     docs = spark.createDataFrame([(None, "abc")], "doc_id long, text string")
     assert ctw_scores(docs.limit(0)).count() == 0
