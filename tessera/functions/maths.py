@@ -72,3 +72,26 @@ def shift_right(x: Column, by: int) -> Column:
 
 def complement(x: Column) -> Column:
     return F.bitwise_not(_not_negative(x))
+
+
+#: The multiplier, increment and seed of the random sequence, of which bits 16 to 30 are used.
+MULTIPLIER, INCREMENT, SEED = 1103515245, 12345, 1
+
+
+def random_at(number: Column, seed: int = SEED, bits: int = 48) -> Column:
+    """The ``number``-th value, from 1, of the random sequence that begins with ``seed``: from 0 to below 1.
+
+    Any value is found at once, by the powers of the step for each bit of its number, so that records need no order.
+    """
+    mask, a, c, steps = (1 << 31) - 1, MULTIPLIER & ((1 << 31) - 1), INCREMENT, []
+    for k in range(bits):
+        steps.append(F.struct(F.lit(k).alias("k"), F.lit(a).cast("bigint").alias("a"), F.lit(c).cast("bigint").alias("c")))
+        a, c = a * a & mask, (a * c + c) & mask
+    has = lambda s: F.call_function("shiftright", number.cast("bigint"), s["k"]).bitwiseAND(F.lit(1)) == 1
+    step = lambda x, s: F.when(has(s), (x * s["a"] + s["c"]).bitwiseAND(F.lit(mask))).otherwise(x)
+    return F.aggregate(F.array(*steps), F.lit(seed & mask).cast("bigint"), step, lambda x: F.shiftright(x, 16) / 32768.0)
+
+
+def exact(value: Column, scale: int = 0) -> Column:
+    """A number of up to 38 digits, ``scale`` of them after the point; null if it is none or too large."""
+    return value.try_cast(f"decimal(38,{scale})")

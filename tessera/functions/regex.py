@@ -17,7 +17,10 @@ _SPECIAL = r"\.[]{}()*+?^$|"
 
 
 def java(pattern: str, ignore_case: bool = False) -> str:
-    """The pattern as Spark needs it. A dot matches a newline, and digits after a backslash are literal."""
+    """The pattern as Spark needs it. A dot matches a newline, and digits after a backslash are literal.
+
+    A sign of repetition with nothing before it, at the start or after ``(``, ``|`` or ``^``, is literal.
+    """
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
@@ -29,7 +32,7 @@ def java(pattern: str, ignore_case: bool = False) -> str:
             part, i = _bracket(pattern, i)
             out.append(part)
         else:
-            out.append(c)
+            out.append("\\" + c if c in "*+?{" and (not out or out[-1] in ("(", "|", "^")) else c)
             i += 1
     return ("(?si)" if ignore_case else "(?s)") + "".join(out)
 
@@ -59,6 +62,21 @@ def _bracket(pattern: str, i: int) -> tuple[str, int]:
     return "".join(out) + "]", i + 1
 
 
+def ungrouped(pattern: str) -> str:
+    """A pattern that ``java`` returned, with groups that don't capture. Brackets and escapes stay."""
+    out, i, inside = [], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            out.append(pattern[i : i + 2])
+            i += 2
+            continue
+        inside = c == "[" or (inside and c != "]")
+        out.append("(?:" if c == "(" and not inside and pattern[i + 1 : i + 2] != "?" else c)
+        i += 1
+    return "".join(out)
+
+
 def is_literal(pattern: str) -> bool:
     """Whether a pattern has no special character, so that ``contains`` and ``replace`` can stand for it."""
     return not any(c in _SPECIAL for c in pattern)

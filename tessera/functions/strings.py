@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.regex import is_literal, java
+from tessera.functions.regex import is_literal, java, ungrouped
 from tessera.functions.values import num, text
 
 
@@ -35,19 +36,20 @@ def _whole(value: Column | float) -> Column:
     return F.lit(int(value)) if isinstance(value, int | float) else value.cast("int")
 
 
-def pieces(value: Column, separator: str | None = None) -> Column:
+def pieces(value: Column, separator: str | None = None, ignore_case: bool = False) -> Column:
     """Array of the parts of a text. Without a separator, runs of space, tab and newline separate; empty has none.
 
-    A separator of one character is literal, a longer one a pattern; an empty one gives characters.
+    A separator of one character is literal, a longer one a pattern; an empty one gives characters. With
+    ``ignore_case`` a separator of one letter is both its cases.
     """
     empty = F.array().cast("array<string>")
     if separator is None or separator == " ":
         value = F.regexp_replace(value, r"^[ \t\n]+|[ \t\n]+$", "")
         separator = r"[ \t\n]+"
     elif len(separator) == 1:
-        separator = re.escape(separator)
+        separator = ("(?i)" if ignore_case else "") + re.escape(separator)
     elif separator:
-        separator = java(separator)
+        separator = java(separator, ignore_case)
     return F.when(F.coalesce(value, F.lit("")) == "", empty).otherwise(F.split(value, separator, -1))
 
 
@@ -61,9 +63,9 @@ def found(value: Column, pattern: str = r"[^[:space:]]+") -> Column:
     return F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(java(pattern)), F.lit(0))
 
 
-def match(value: Column, pattern: str) -> Column:
+def match(value: Column, pattern: str, ignore_case: bool = False) -> Column:
     """Struct of the first match: start (0 if none), length (-1 if none)."""
-    whole = java(pattern)
+    whole = java(pattern, ignore_case)
     before = F.length(F.get(F.split(value, whole, 2), 0))
     size = F.length(F.regexp_extract(value, whole, 0))
     hit = F.coalesce(value.rlike(whole), F.lit(False))
@@ -95,11 +97,11 @@ def _replacement(text: str, groups: bool, offset: int = 0) -> str:
     return "".join(out)
 
 
-def gsub(value: Column, pattern: str, replacement: str) -> Column:
+def gsub(value: Column, pattern: str, replacement: str, ignore_case: bool = False) -> Column:
     """Replace every match; ``&`` stands for it."""
-    if is_literal(pattern) and pattern and not re.search(r"[\\&]", replacement):
+    if is_literal(pattern) and pattern and not ignore_case and not re.search(r"[\\&]", replacement):
         return F.replace(value, F.lit(pattern), F.lit(replacement))
-    return F.regexp_replace(value, java(pattern), _replacement(replacement, False))
+    return F.regexp_replace(value, java(pattern, ignore_case), _replacement(replacement, False))
 
 
 def gsub_count(value: Column, pattern: str) -> Column:
@@ -107,21 +109,26 @@ def gsub_count(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(java(pattern)))
 
 
-def sub(value: Column, pattern: str, replacement: str) -> Column:
+def sub(value: Column, pattern: str, replacement: str, ignore_case: bool = False) -> Column:
     """Replace the first match. ``&`` stands for it."""
-    body = java(pattern).removeprefix("(?s)")
-    return F.regexp_replace(value, f"(?s)^(.*?)({body})", "$1" + _replacement(replacement, False, 2))
+    flags, body = _split(java(pattern, ignore_case))
+    return F.regexp_replace(value, f"{flags}^(.*?)({body})", "$1" + _replacement(replacement, False, 2))
+
+
+def _split(pattern: str) -> tuple[str, str]:
+    """The flags that ``java`` puts in front, and the rest."""
+    end = pattern.index(")") + 1
+    return pattern[:end], pattern[end:]
 
 
-def gensub(value: Column, pattern: str, replacement: str, how: str | int = "g") -> Column:
+def gensub(value: Column, pattern: str, replacement: str, how: str | int = "g", ignore_case: bool = False) -> Column:
     """Replace all matches (``g``) or the n-th; ``\\1`` to ``\\9`` are groups, ``&`` and ``\\0`` the match."""
     if isinstance(how, str):
         if how[:1] not in ("g", "G"):
             raise ValueError("how must begin with g, or be a number")
-        return F.regexp_replace(value, java(pattern), _replacement(replacement, True))
-    body, n = java(pattern).removeprefix("(?s)"), max(how, 1)
-    inner = re.sub(r"(?<!\\)\((?!\?)", "(?:", body)
-    before = f"(?s)^((?:.*?{inner}){{{n - 1}}}.*?)({body})"
+        return F.regexp_replace(value, java(pattern, ignore_case), _replacement(replacement, True))
+    (flags, body), n = _split(java(pattern, ignore_case)), max(how, 1)
+    before = f"{flags}^((?:.*?(?:{ungrouped(body)})){{{n - 1}}}.*?)({body})"
     return F.regexp_replace(value, before, "$1" + _replacement(replacement, True, 2))
 
 
@@ -234,3 +241,44 @@ def between_found(value: Column, pattern: str = r"[^[:space:]]+") -> Column:
     """Array of what stands between the matches of the pattern, without what is before the first and after the last."""
     parts = F.split(F.coalesce(value, F.lit("")), java(pattern), -1)
     return F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+
+
+def match_offsets(value: Column, pattern: str, groups: int, ignore_case: bool = False) -> Column:
+    """Array of (start, length) of the first match and its groups 1 to ``groups``; 0 and -1 where there is none.
+
+    Spark has no function for where a group stands, so that batches of texts go through a pandas function.
+    """
+    import regex
+
+    found = regex.compile(java(pattern, ignore_case).replace(r"\z", r"\Z"))
+
+    @F.pandas_udf("array<struct<start:int,length:int>>")
+    def offsets(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[tuple[int, int]]:
+            m = found.search(text or "")
+            spans = [m.span(i) for i in range(groups + 1)] if m else [(-1, -1)] * (groups + 1)
+            return [(a + 1, b - a) if a >= 0 else (0, -1) for a, b in spans]
+
+        return texts.map(one, na_action=None)
+
+    return offsets(value)
+
+
+def byte_length(value: Column) -> Column:
+    """Length in bytes, as all text functions count in bytes mode."""
+    return F.octet_length(value)
+
+
+def byte_index(value: Column, part: str) -> Column:
+    """Byte where ``part`` first stands, from 1; 0 if nowhere."""
+    at = F.instr(value, part)
+    return F.when(at > 0, F.octet_length(F.substring(value, F.lit(1), at - 1)) + 1).otherwise(0)
+
+
+def byte_substr(value: Column, start: int, length: int | None = None) -> Column:
+    """Like ``substr``, by bytes; a character that is cut becomes a replacement character."""
+    raw = F.encode(value, "UTF-8")
+    size = F.octet_length(raw) if length is None else F.lit(max(length, 0))
+    # try: a part of a character is no text
+    part = F.substring(raw, F.lit(max(start, 1)), size)
+    return F.coalesce(F.try_validate_utf8(part.cast("string")), F.make_valid_utf8(part.cast("string")))

@@ -57,11 +57,17 @@ def strftime(template: str, seconds: Column, utc: bool = False) -> Column:
     return F.concat(*parts)
 
 
-def mktime(value: Column) -> Column:
-    """Seconds of a text ``Y M D h m s``; -1 if a part is missing or out of range."""
+def systime() -> Column:
+    """Whole seconds of now, the same for all rows of a query."""
+    return F.unix_seconds(F.current_timestamp())
+
+
+def mktime(value: Column, utc: bool = False) -> Column:
+    """Seconds of a text ``Y M D h m s``, in the session's time zone or ``utc``; -1 if a part is missing or out of range."""
     parts = F.split(F.trim(value), r"\s+")
     names = [F.get(parts, i).try_cast("int") for i in range(6)]
-    return F.coalesce(F.unix_seconds(F.try_make_timestamp(*names)), F.lit(-1).cast("bigint"))
+    zone = {"timezone": F.lit("UTC")} if utc else {}
+    return F.coalesce(F.unix_seconds(F.try_make_timestamp(*names, **zone)), F.lit(-1).cast("bigint"))
 
 
 def calendar(seconds: Column) -> Column:

@@ -77,11 +77,14 @@ def truthy(value: Column, kind: str = "input") -> Column:
     return F.when(looks_numeric(value), num(value) != 0).otherwise(F.coalesce(value != "", F.lit(False)))
 
 
-def compare(left: Column, op: str, right: Column, left_kind: str = "input", right_kind: str = "input") -> Column:
+def compare(
+    left: Column, op: str, right: Column, left_kind: str = "input", right_kind: str = "input", ignore_case: bool = False
+) -> Column:
     """Compare as numbers if both sides are numbers or input that looks numeric, else as texts by code point.
 
     The kinds are ``number``, ``string`` and ``input``. They are known when the plan is built, so that the
     check of how input looks is only made where it can matter. NaN equals nothing. Null is empty and 0.
+    ``ignore_case`` folds texts.
     """
     ops = {
         "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b,
@@ -98,7 +101,8 @@ def compare(left: Column, op: str, right: Column, left_kind: str = "input", righ
     by_number = ops[op](a, b) & ~F.isnan(a) & ~F.isnan(b) if op != "!=" else ops[op](a, b) | F.isnan(a) | F.isnan(b)
     if left_kind == right_kind == "number":
         return by_number
-    by_text = ops[op](as_text(left, left_kind), as_text(right, right_kind))
+    texts = [as_text(left, left_kind), as_text(right, right_kind)]
+    by_text = ops[op](*(map(F.lower, texts) if ignore_case else texts))
     if "string" in (left_kind, right_kind):
         return by_text
     sides = [F.coalesce(v.isNull(), F.lit(False)) | looks_numeric(v) for v, k in ((left, left_kind), (right, right_kind)) if k == "input"]

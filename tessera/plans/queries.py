@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import maths, strings, times, values
 from tessera.operators import folds, lookups
-from tessera.operators.rules import Rule, apply_rules, switch
+from tessera.operators.rules import Like, Rule, apply_rules, switch, switch_bodies
 from tessera.plans import ordered
 from tessera.sources import records, sinks
 
@@ -273,12 +273,7 @@ def sorted_by_value(df, of):
 @query("part", "SELECT key, row_number() OVER (ORDER BY key) AS i FROM (SELECT DISTINCT p_brand AS key FROM part)")
 def asorti_keys(df, of):
     keys = folds.distinct_values(df, ["p_brand"]).withColumnRenamed("p_brand", "key")
-    return ordered_keys(keys)
-
-
-def ordered_keys(keys: DataFrame) -> DataFrame:
-    """Number the rows of a result by key."""
-    return keys.withColumn("i", folds.ranked(keys, "key").cast("bigint"))
+    return ordered.numbered(keys, "key", "i")
 
 
 # --- lookups and several inputs
@@ -524,3 +519,220 @@ def time_functions(df, of):
 def time_bucket_key(df, of):
     hour = maths.intdiv(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(3600))
     return folds.fold(df.withColumn("hour", hour), ["hour", "event_type"], n=F.count("*"))
+
+
+# --- records and files, second part
+
+@query("documents", """WITH a AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\A([ \\t]*\\n)+', '') AS t FROM documents),
+    b AS (SELECT doc_id, t, rtrim(t, chr(32) || chr(9) || chr(10)) AS body FROM a),
+    c AS (SELECT doc_id, body || split_part(substr(t, length(body) + 1), chr(10), 1) AS body, t FROM b),
+    d AS (SELECT doc_id, string_split_regex(body, '\\n([ \\t]*\\n)+') AS parts,
+                 list_append(regexp_extract_all(body, '\\n([ \\t]*\\n)+'), substr(t, length(body) + 1)) AS ends FROM c WHERE body <> '')
+    SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS record, unnest(ends) AS rt FROM d""")
+def records_paragraph(df, of):
+    return records.split_records(df.select("doc_id", "text"), "", "text")
+
+
+@query("documents", """WITH a AS (SELECT doc_id, string_split_regex(text, '[.!?][[:space:]]+') AS p, regexp_extract_all(text, '[.!?][[:space:]]+') AS e
+    FROM documents WHERE text <> '')
+    SELECT doc_id, i - 1 AS pos, p[i] AS record, coalesce(e[i], '') AS rt FROM (SELECT *, unnest(generate_series(1, len(p))) AS i FROM a)
+    WHERE i < len(p) OR p[i] <> ''""")
+def records_pattern(df, of):
+    return records.split_records(df.select("doc_id", "text"), "[.!?][[:space:]]+", "text")
+
+
+@query("orders", """SELECT o_orderpriority, 0 AS edge, min(o_orderkey) AS o_orderkey, 'begin' AS line FROM orders GROUP BY ALL
+    UNION ALL SELECT o_orderpriority, 1, max(o_orderkey), count(*) || ' records' FROM orders GROUP BY ALL""")
+def file_begin_and_end(df, of):
+    return records.file_edges(df, "o_orderpriority", "o_orderkey", F.first(F.lit("begin")), F.concat(F.count("*").cast("string"), F.lit(" records")))
+
+
+@query("nation", """SELECT n_name AS name, 0 AS file_index, 'x' AS tag FROM nation UNION ALL SELECT r_name, 1, 'x' FROM region
+    UNION ALL SELECT c_mktsegment, 2, 'y' FROM customer""")
+def assigned_between_files(df, of):
+    parts = [df.select(F.col("n_name").alias("name")), of("region").select(F.col("r_name").alias("name")), of("customer").select(F.col("c_mktsegment").alias("name"))]
+    return records.assigned(folds.union_all(*parts), "file_index", [(2, "y"), (0, "x")], "tag")
+
+
+@query("part", """SELECT p_partkey, '"' || p_name || '",' AS a, p_type || '"' AS b FROM part""")
+def fields_csv_quotes(df, of):
+    line = F.concat(F.lit('"""'), F.col("p_name"), F.lit('"",","'), F.col("p_type"), F.lit('"""'))
+    parts = records.csv_fields(line)
+    return df.select("p_partkey", *[records.field(parts, i).alias(n) for i, n in enumerate("ab", 1)])
+
+
+@query("orders", "SELECT o_orderkey, o_orderstatus || ' ' || (o_custkey + 1) AS line FROM orders")
+def field_increment(df, of):
+    parts = records.fields(records.record_of(df, ["o_orderstatus", "o_custkey"]))
+    return df.select("o_orderkey", records.joined(records.updated_field(parts, 2, lambda x: values.text(values.num(x) + 1))).alias("line"))
+
+
+@query("events", """WITH p AS (SELECT event_id, event_type || CASE WHEN event_type = 'error' THEN chr(10) ELSE ',' END AS piece FROM events),
+    q AS (SELECT *, coalesce(sum(CASE WHEN piece LIKE '%' || chr(10) THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_no FROM p)
+    SELECT line_no::BIGINT AS line_no, replace(string_agg(piece, '' ORDER BY event_id), chr(10), '') AS line FROM q GROUP BY line_no""")
+def printf_fragments(df, of):
+    piece = F.concat("event_type", F.when(F.col("event_type") == "error", "\n").otherwise(","))
+    return sinks.fragments(df.withColumn("piece", piece), "event_id", "piece")
+
+
+@query("customer", "SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_name) AS nr FROM customer")
+def record_number_by_text(df, of):
+    return ordered.numbered(df, "c_name").select("c_custkey", "c_name", "nr")
+
+
+# --- rows as text: the shapes that are timed
+
+_LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+
+
+@query("lineitem", "SELECT count(*) AS n FROM lineitem WHERE concat_ws(' ', l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linestatus) LIKE '%99 R%'")
+def lineitem_pattern(df, of):
+    return df.where(strings.matches(records.record_of(df, _LINE), "99 R")).agg(F.count("*").alias("n"))
+
+
+@query("lineitem", "SELECT l_orderkey, l_linenumber, l_returnflag || '-' || l_suppkey AS line FROM lineitem")
+def lineitem_concat(df, of):
+    return df.select("l_orderkey", "l_linenumber", F.concat_ws("-", "l_returnflag", F.col("l_suppkey").cast("string")).alias("line"))
+
+
+@query("lineitem", """SELECT l_orderkey, l_linenumber, replace(concat_ws(' ', l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linestatus), 'alpha', 'ALPHA') AS line
+    FROM lineitem""")
+def lineitem_gsub(df, of):
+    return df.select("l_orderkey", "l_linenumber", strings.gsub(records.record_of(df, _LINE), "alpha", "ALPHA").alias("line"))
+
+
+# --- case, kinds, bytes
+
+@query("part", """SELECT p_partkey, regexp_replace(p_name, 'RING', '<\\0>', 'gi') AS a, regexp_replace(p_name, 'I', '-', 'i') AS b,
+    len(regexp_split_to_array(p_name, '[iI]')) AS n, coalesce(nullif(strpos(lower(p_name), 'in'), 0), 0) AS at,
+    CASE WHEN lower(p_name) < lower(upper(p_type)) THEN 1 ELSE 0 END AS less FROM part""")
+def ignore_case_functions(df, of):
+    name = F.col("p_name")
+    return df.select(
+        "p_partkey", strings.gsub(name, "RING", "<&>", ignore_case=True).alias("a"), strings.sub(name, "I", "-", ignore_case=True).alias("b"),
+        F.size(strings.pieces(name, "I", ignore_case=True)).cast("bigint").alias("n"), strings.match(name, "IN", ignore_case=True)["start"].alias("at"),
+        maths.truth(values.compare(name, "<", F.upper("p_type"), "string", "string", ignore_case=True)).alias("less"),
+    )
+
+
+@query("part", """SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '^[0-9]+$') THEN 'strnum' ELSE 'string' END AS a, 'strnum' AS b FROM part""")
+def kinds_of_fields(df, of):
+    return df.select("p_partkey", values.kind_of(F.col("p_brand")).alias("a"), values.kind_of(F.concat(F.lit(" "), F.col("p_size").cast("string"))).alias("b"))
+
+
+@query("documents", """SELECT doc_id, octet_length(encode(text)) AS bytes, CASE WHEN strpos(text, 'ch') = 0 THEN 0
+    ELSE octet_length(encode(substr(text, 1, strpos(text, 'ch') - 1))) + 1 END AS at FROM documents WHERE text IS NOT NULL""")
+def bytes_mode(df, of):
+    t = F.col("text")
+    return df.where("text is not null").select("doc_id", strings.byte_length(t).cast("bigint").alias("bytes"), strings.byte_index(t, "ch").cast("bigint").alias("at"))
+
+
+@query("part", """SELECT p_partkey, list_aggregate(regexp_extract_all(p_name, '[aeiou]+'), 'string_agg', '|') AS seps,
+    list_aggregate(regexp_extract_all(p_name, '[^aeiou]+'), 'string_agg', '|') AS fields FROM part""")
+def split_with_separators(df, of):
+    name = F.col("p_name")
+    return df.select(
+        "p_partkey", F.array_join(strings.separators(name, "[aeiou]+"), "|").alias("seps"), F.array_join(strings.found(name, "[^aeiou]+"), "|").alias("fields")
+    )
+
+
+@query("customer", """SELECT c_custkey, 1 AS s1, strpos(c_name, '#') - 1 AS l1, length(c_name) - length(regexp_extract(c_name, '#0*([0-9]+)', 1)) + 1 AS s2,
+    length(regexp_extract(c_name, '#0*([0-9]+)', 1)) AS l2 FROM customer""")
+def match_group_offsets(df, of):
+    found = strings.match_offsets(F.col("c_name"), "([A-Za-z]+)#0*([0-9]+)", 2)
+    return df.select("c_custkey", found.alias("m")).selectExpr("c_custkey", "m[1].start as s1", "m[1].length as l1", "m[2].start as s2", "m[2].length as l2")
+
+
+@query("part", "SELECT p_partkey, regexp_replace(p_name, '^([^aeiou]*[aeiou][^aeiou]*)([aeiou])', '\\1<\\2>') AS second FROM part")
+def str_gensub_second(df, of):
+    return df.select("p_partkey", strings.gensub(F.col("p_name"), "[aeiou]", "<&>", 2).alias("second"))
+
+
+@query("part", """SELECT p_partkey, p_size::DOUBLE AS a, p_size::DOUBLE AS b, CASE WHEN p_size % 10 < 8 AND p_size // 10 < 8 THEN (p_size // 10 * 8 + p_size % 10)::DOUBLE
+    ELSE p_size::DOUBLE END AS c FROM part""")
+def strtonum_bases(df, of):
+    size = F.col("p_size")
+    return df.select(
+        "p_partkey", strings.strtonum(F.concat(F.lit("0x"), F.hex(size))).alias("a"), strings.strtonum(F.concat(size.cast("string"), F.lit(" parts"))).alias("b"),
+        strings.strtonum(F.concat(F.lit("0"), size.cast("string"))).alias("c"),
+    )
+
+
+@query("part", """SELECT p_partkey, chr(65 + p_size % 26) || '|%|' || p_brand || ' ' || p_size AS line FROM part""")
+def printf_positions(df, of):
+    code = F.lit(65) + F.col("p_size") % 26
+    return df.select("p_partkey", strings.formatted("%3$c|%%|%2$s %1$d", F.col("p_size"), F.col("p_brand"), code).alias("line"))
+
+
+# --- numbers and times, second part
+
+@query("events", """WITH RECURSIVE r(n, x) AS (SELECT 0::BIGINT, 1::BIGINT UNION ALL
+    SELECT n + 1, (x * 1103515245 + 12345) % 2147483648 FROM r WHERE n < (SELECT count(*) FROM events))
+    SELECT event_id, (x >> 16) / 32768.0::DOUBLE AS v FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events) JOIN r USING (n)""")
+def random_sequence(df, of):
+    return ordered.numbered(df, "event_id", "n").select("event_id", maths.random_at(F.col("n")).alias("v"))
+
+
+@query("orders", "SELECT o_orderpriority, CAST(sum(o_orderkey::HUGEINT * o_orderkey * o_orderkey) AS VARCHAR) AS cubes FROM orders GROUP BY o_orderpriority")
+def exact_decimals(df, of):
+    key = maths.exact(F.col("o_orderkey"))
+    cube = maths.exact(maths.exact(key * key) * key)
+    return folds.fold(df, ["o_orderpriority"], cubes=F.sum(cube).cast("string"))
+
+
+@query("orders", "SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS at FROM orders")
+def mktime_utc(df, of):
+    return df.select("o_orderkey", times.mktime(F.date_format("o_orderdate", "yyyy MM dd HH mm ss"), utc=True).alias("at"))
+
+
+# --- sorting, switch, joins, second part
+
+@query("part", """WITH v AS (SELECT CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_size::VARCHAR END AS value FROM part)
+    SELECT value, row_number() OVER (ORDER BY TRY_CAST(value AS DOUBLE) IS NULL, TRY_CAST(value AS DOUBLE), value) AS i FROM v""")
+def asort_values(df, of):
+    mixed = F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string"))
+    return folds.values_in_order(df.select(mixed.alias("value")))
+
+
+@query("part", """SELECT CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_size::VARCHAR END AS key, count(*) AS value FROM part GROUP BY key""")
+def sorted_by_type(df, of):
+    mixed = F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string"))
+    return folds.sorted_by(folds.fold(df.withColumn("key", mixed), ["key"], value=F.count("*")), "ind_type_asc")
+
+
+@query("part", "SELECT row_number() OVER (ORDER BY p_size % 5 DESC, p_size) AS i, p_size FROM (SELECT DISTINCT p_size FROM part)")
+def sorted_by_comparator(df, of):
+    def after(a, b):
+        return F.when(a["p_size"] % 5 == b["p_size"] % 5, a["p_size"] - b["p_size"]).otherwise(b["p_size"] % 5 - a["p_size"] % 5)
+
+    return folds.sorted_with(folds.distinct_values(df, ["p_size"]), after, ["p_size"])
+
+
+@query("part", """SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '^Brand#1') THEN 'one,two' WHEN p_brand = 'Brand#22' THEN 'two' ELSE 'other' END AS ran,
+    CASE WHEN regexp_matches(p_brand, '[13]$') OR p_brand = 'Brand#22' THEN 'odd' ELSE 'rest' END AS kind FROM part""")
+def switch_patterns(df, of):
+    brand = F.col("p_brand")
+    ran = switch_bodies(brand, [(Like("^Brand#1"), F.lit("one"), False), ("Brand#22", F.lit("two"), True), (None, F.lit("other"), True)], default=2)
+    kind = switch(brand, [([Like("[13]$"), "Brand#22"], F.lit("odd"))], F.lit("rest"))
+    return df.select("p_partkey", F.array_join(ran, ",").alias("ran"), kind.alias("kind"))
+
+
+@query("customer", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+def join_anti_some(df, of):
+    big = of("orders").where("o_totalprice > 400000").withColumnRenamed("o_custkey", "c_custkey")
+    return lookups.dropped_keys(df, big, ["c_custkey"]).select("c_custkey")
+
+
+@query("lineitem", """SELECT l_returnflag, l_linestatus, l_orderkey, n FROM lineitem JOIN (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem
+    WHERE l_quantity > 49 GROUP BY ALL) USING (l_returnflag, l_linestatus)""")
+def join_composite_key(df, of):
+    keys = ["l_returnflag", "l_linestatus"]
+    table = folds.fold(df.where("l_quantity > 49"), keys, n=F.count("*"))
+    return lookups.lookup(df, table, keys).select(*keys, "l_orderkey", "n")
+
+
+@query("customer", """SELECT c_custkey, coalesce(n_name, c_mktsegment) AS shown FROM customer LEFT JOIN nation ON c_mktsegment = upper(n_name) OR
+    (c_mktsegment = 'MACHINERY' AND n_nationkey = 3)""")
+def translated_messages(df, of):
+    entries = of("nation").select(F.when(F.col("n_nationkey") == 3, "MACHINERY").otherwise(F.upper("n_name")).alias("msgid"), F.col("n_name").alias("msgstr"))
+    return lookups.translated(df, "c_mktsegment", entries, "shown").select("c_custkey", "shown")

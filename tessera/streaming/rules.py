@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.operators.folds import fold
 from tessera.operators.rules import Rule, apply_rules
@@ -28,3 +33,27 @@ def stream_windows(df: DataFrame, time: str, size: str, late: str, keys: list[st
 def stream_seen_first(df: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
     """The first row of each key; keys are forgotten ``late`` after their time."""
     return df.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
+def stream_running(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """State that passes from record to record of a key: ``n`` (number), ``total`` (running sum) and ``before`` (the value before).
+
+    Records of a key that come together are taken by ``order``; what came earlier stays first. A null value adds
+    nothing. State is a row a key.
+    """
+    fields = [df.schema[k] for k in keys] + [df.schema[order], T.StructField(value, T.DoubleType())]
+    out = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()), T.StructField("before", T.DoubleType())])
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, total, before = state.get if state.exists else (0, 0.0, None)
+        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
+        found = rows[value].astype("float64")
+        rows = rows.assign(**{
+            "n": range(n + 1, n + len(rows) + 1), "total": total + found.fillna(0.0).cumsum(), "before": found.shift(1, fill_value=float("nan") if before is None else before),
+        })
+        last = found.iloc[-1]
+        state.update((n + len(rows), float(rows["total"].iloc[-1]), None if pd.isna(last) else float(last)))
+        yield rows[out.names]
+
+    grouped = df.select(*keys, order, F.col(value).cast("double").alias(value)).groupBy(*keys)
+    return grouped.applyInPandasWithState(step, out, "n bigint, total double, before double", "append", GroupStateTimeout.NoTimeout)

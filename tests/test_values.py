@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import maths, regex, strings, times, values
-from tessera.operators import folds
-from tessera.operators.rules import Rule
+from tessera.operators import folds, lookups
+from tessera.operators.rules import Like, Rule, switch_bodies
 from tessera.plans import ordered
 from tessera.sources import records, sinks
 from tessera.streaming import rules as streams
@@ -198,3 +198,159 @@ def test_state_by_key(spark, ranges):
         assert r["v"] == (max(earlier)[1] if earlier else None)
     assert len(got) == len(want)
     assert ordered.ranked_within(df, ["k"], "t").count() == len(want)
+
+
+def split(spark, text, separator):
+    rows = records.split_records(spark.createDataFrame([(text,)], "value string"), separator).orderBy("pos").collect()
+    return [(r["record"], r["rt"]) for r in rows]
+
+
+def test_separator_texts(spark):
+    assert split(spark, "a\nb\n\n\nc \nd \n \n", "") == [("a\nb", "\n\n\n"), ("c \nd ", "\n \n")]
+    assert split(spark, "\n \nx", "") == [("x", "")]
+    assert split(spark, "a1b22c", "[0-9]+") == [("a", "1"), ("b", "22"), ("c", "")]
+    assert split(spark, "a;;b;", ";") == [("a", ";"), ("", ";"), ("b", ";")]
+    assert split(spark, "\n", "\n") == [("", "\n")]
+    for empty in (None, "", "\n\n"):
+        assert split(spark, empty, "") == []
+
+
+def test_long_runs_in_records(spark):
+    """Patterns that repeat a group must not call themselves for each repeat."""
+    blank = "\n" * 100_000
+    assert split(spark, f"a{blank}b{blank}", "") == [("a", blank), ("b", blank)]
+    assert one(spark, records.csv_fields(F.lit('x,"' + '""' * 100_000 + '",y'))) == ["x", '"' * 100_000, "y"]
+
+
+def test_patterns_with_signs_at_the_start_and_brackets(spark):
+    assert one(spark, strings.matches(F.lit("x*ab"), "*a")) and one(spark, strings.matches(F.lit("a+"), "b|+"))
+    assert one(spark, strings.gensub(F.lit("?x(x(x"), "[(]x", "Y", 2)) == "?x(xY"
+    assert one(spark, strings.gensub(F.lit("a1b2c3"), "([a-z])([0-9])", r"\2\1", 3)) == "a1b23c"
+    assert regex.ungrouped("(a)[(](?:b)") == "(?:a)[(](?:b)"
+
+
+def test_ignore_case(spark):
+    text = F.lit("Alpha ALPHA")
+    assert one(spark, strings.gsub(text, "alpha", "<&>", ignore_case=True)) == "<Alpha> <ALPHA>"
+    assert one(spark, strings.sub(text, "ALPHA", "x", ignore_case=True)) == "x ALPHA"
+    assert one(spark, strings.gensub(text, "a(l)", r"\1", 2, ignore_case=True)) == "Alpha LPHA"
+    assert one(spark, strings.pieces(F.lit("1x2X3"), "x", ignore_case=True)) == ["1", "2", "3"]
+    assert one(spark, values.compare(F.lit("ABC"), "==", F.lit("abc"), "string", "string", ignore_case=True))
+
+
+def test_match_offsets_and_bytes(spark):
+    df = spark.createDataFrame([("xab12",), ("none",), (None,)], "t string")
+    got = [[tuple(x) for x in r["m"]] for r in df.select(strings.match_offsets(F.col("t"), "([a-z]b)([0-9]+)?(z)?", 3).alias("m")).collect()]
+    assert got == [[(2, 4), (2, 2), (4, 2), (0, -1)], [(0, -1)] * 4, [(0, -1)] * 4]
+    assert one(spark, strings.byte_length(F.lit("é😀"))) == 6
+    assert one(spark, strings.byte_index(F.lit("éa"), "a")) == 3
+    assert one(spark, strings.byte_substr(F.lit("éab"), 3, 1)) == "a" and one(spark, strings.byte_substr(F.lit("éab"), 2, 2)) == "\ufffda"
+
+
+def test_kinds_and_separators(spark):
+    df = spark.createDataFrame([("42",), ("42abc",), (" -7.5e2 ",), (None,)], "t string")
+    assert [r["k"] for r in df.select(values.kind_of(F.col("t")).alias("k")).collect()] == ["strnum", "string", "strnum", "untyped"]
+    assert one(spark, strings.separators(F.lit("a1b22c"), "[0-9]+")) == ["1", "22"]
+
+
+def test_groups_with_null_and_products(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, None, "stop"), (3, None, "x"), (4, "a", "x")], "i long, g string, t string")
+    assert sorted(r["i"] for r in ordered.until(df, "i", "t = 'stop'", ["g"]).collect()) == [1, 2, 4]
+    numbers = spark.createDataFrame([(3.0,), (7.0,), (11.0,), (None,)], "v double")
+    assert numbers.agg(folds.product(F.col("v")).alias("p")).first()["p"] == 231.0
+
+
+def test_order_by_text(spark):
+    df = spark.createDataFrame([(f"k{i * 7919 % 1000:04d}é"[: 4 + i % 3], i) for i in range(1000)], "k string, i long").dropDuplicates(["k"])
+    got = ordered.numbered(df, "k", "nr", ranges=7)
+    want = {k: n for n, k in enumerate(sorted((r["k"] for r in df.collect()), key=str.encode), 1)}
+    assert {r["k"]: r["nr"] for r in got.collect()} == want
+    assert ordered.with_ranges(df, "k", 7).select("_range").distinct().count() == 7
+    with pytest.raises(TypeError):
+        ordered.numbered(df.withColumn("a", F.array("i")), "a")
+
+
+def test_switch_and_comparator(spark):
+    cases = [(Like("^a"), F.lit("1"), False), ("b", F.lit("2"), True), (None, F.lit("3"), False), ("c", F.lit("4"), True)]
+    ran = [one(spark, switch_bodies(F.lit(v), cases, default=2)) for v in ("ax", "b", "c", "zz")]
+    assert ran == [["1", "2"], ["2"], ["4"], ["3", "4"]]
+    df = spark.createDataFrame([("b", 2), ("a", 30), ("c", 100)], "k string, v long")
+    backwards = lambda a, b: b["v"] - a["v"]
+    assert [(r["i"], r["k"]) for r in folds.sorted_with(df, backwards, ["k", "v"]).orderBy("i").collect()] == [(1, "c"), (2, "a"), (3, "b")]
+    with pytest.raises(Exception, match="2 rows at most"):
+        folds.sorted_with(df, backwards, ["k", "v"], most=2).collect()
+    mixed = spark.createDataFrame([("10",), ("9",), ("b",), ("B",), ("9",)], "value string")
+    assert [(r["i"], r["value"]) for r in folds.values_in_order(mixed).orderBy("i").collect()] == [(1, "9"), (2, "9"), (3, "10"), (4, "B"), (5, "b")]
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_text("one\ntwo\n")
+    (tmp_path / "in" / "deep" / "b.txt").write_text("three")
+    top = str(tmp_path / "in")
+    assert [(r["name"], r["size"]) for r in records.listing(spark, top).collect()] == [("a.txt", 8)]
+    assert sorted(r["name"] for r in records.listing(spark, top, recursive=True).collect()) == ["a.txt", "b.txt"]
+    assert [r["text"] for r in records.whole_files(spark, top + "/a.txt").collect()] == ["one\ntwo\n"]
+    table = spark.createDataFrame([("a\tb", "x\\n\ny"), ("", None), ("é", "\\\\t")], "key string, value string")
+    sinks.write_table(table, str(tmp_path / "table"))
+    got = sorted(tuple(r) for r in records.read_table(spark, str(tmp_path / "table")).collect())
+    assert got == sorted([("a\tb", "x\\n\ny"), ("", ""), ("é", "\\\\t")])
+    stream = records.stream_records(spark, top)
+    query = stream.writeStream.format("memory").queryName("read").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r["record"] for r in spark.table("read").collect()) == ["one", "two"]
+
+
+def test_fragments_and_assignments(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b\nc\n\nd"), (3, None), (4, "e")], "i long, p string").repartition(3)
+    got = sorted((r["line_no"], r["line"]) for r in sinks.fragments(df, "i", "p").collect())
+    assert got == [(0, "ab"), (1, "c"), (2, ""), (3, "de")]
+    ended = spark.createDataFrame([(1, "a\n")], "i long, p string")
+    assert [r["line"] for r in sinks.fragments(ended, "i", "p").collect()] == ["a"]
+    files = spark.createDataFrame([(0,), (1,), (2,)], "f int")
+    assert [r["v"] for r in records.assigned(files, "f", [(1, "x")], "v").orderBy("f").collect()] == ["", "x", "x"]
+    said = spark.createDataFrame([("dog", "dogs", 1), ("dog", "dogs", 3), ("cow", "cows", 2)], "m string, p string, n int")
+    known = spark.createDataFrame([("dog", "Hund", "Hunde")], "msgid string, msgstr string, msgstr_plural string")
+    assert [r["s"] for r in lookups.translated(said, "m", known, "s", "p", "n").collect()] == ["Hund", "Hunde", "cows"]
+
+
+def test_random_and_exact_numbers(spark):
+    x, want = 1, []
+    for _ in range(40):
+        x = (x * 1103515245 + 12345) % 2**64
+        want.append((x >> 16 & 0x7FFF) / 32768)
+    got = spark.range(1, 41).select(maths.random_at(F.col("id")).alias("v")).collect()
+    assert [r["v"] for r in got] == want
+    assert one(spark, maths.exact(F.lit("12345678901234567890123")).cast("string")) == "12345678901234567890123"
+    assert one(spark, maths.exact(F.lit("x"))) is None
+    assert abs(one(spark, times.systime()) - one(spark, F.unix_timestamp())) < 60
+    assert one(spark, times.mktime(F.lit("2024 02 29 0 0 1"), utc=True)) == 1709164801
+
+
+def run_stream(df, name, mode="append"):
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    query.processAllAvailable()
+    query.stop()
+
+
+def test_streams_with_time_and_order(spark, tmp_path):
+    rows = [(i, i % 2, float(i), f"2024-01-01 00:{i:02d}:00") for i in range(30)]
+    df = spark.createDataFrame(rows, "i long, k long, v double, at string").withColumn("at", F.col("at").cast("timestamp"))
+    for part in (0, 1):
+        df.where(f"i div 15 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run_stream(streams.stream_windows(stream, "at", "10 minutes", "1 minute", ["k"], n=F.count("*")), "windows")
+    assert {(r["start"].minute, r["k"]): r["n"] for r in spark.table("windows").collect()} == {(m, k): 5 for m in (0, 10) for k in (0, 1)}
+    run_stream(streams.stream_seen_first(stream.select("k", "at"), ["k"], "at", "1 hour"), "firsts")
+    assert sorted(r["k"] for r in spark.table("firsts").collect()) == [0, 1]
+    run_stream(streams.stream_running(stream, ["k"], "i", "v"), "ran")
+    got = spark.table("ran").collect()
+    assert len(got) == 30
+    for k in (0, 1):
+        own = sorted((r for r in got if r["k"] == k), key=lambda r: r["n"])
+        assert [r["n"] for r in own] == list(range(1, 16))
+        total = 0.0
+        for before, r in zip([None, *own], own, strict=False):
+            total += r["v"]
+            assert r["total"] == total and r["before"] == (None if before is None else before["v"])
