@@ -22,6 +22,9 @@ LENGTH_EDITS = ((32, 1), (40, 2), (60, 3))
 #: Offsets whose differences are all numbers up to the key.
 RULERS = {0: (0,), 1: (0, 1), 2: (0, 1, 2), 3: (0, 1, 3)}
 
+#: Longer lines than this are not linked by deletions, as each emits a row for every character.
+DELETION_CHARS = 2_000
+
 #: A band of lengths ends at this multiple of its least length; the last one begins below LAST_BAND.
 BAND_GROWTH, LAST_BAND = 1.5, 100_000
 
@@ -223,7 +226,9 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
     that share one of t + 1 chunks are compared pair by pair, unless more than ``crowd`` share it. The lines
     of such crowded chunks are cut finer: of these chunks, t at most are touched, so that a line with
     t + 1 fine chunks that are not crowded meets all its neighbours there. Lines with fewer, which differ
-    from the crowd in next to nothing, are compared in pairs within their crowded chunk. No pair is left out.
+    from the crowd in next to nothing, such as those with a running number, are first linked where one edit parts them,
+    without pairs (``_deletion_links``); only those that this leaves in different classes are compared in pairs within their
+    crowded chunk. No class of linked lines is split.
     """
     bands, n = _bands(edits), F.col("n")
     own, lower, allowed = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("int")
@@ -268,7 +273,17 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
             .select("lid", "low")
         )
         pairs = pairs.unionByName(_pairs(fine.where((F.col("n") > 1) & (F.col("n") <= crowd))))
-        pairs = pairs.unionByName(_pairs(many.join(hard, ["lid", "low"], "left_semi")))
+        same = written(many.join(hard, ["lid", "low"], "left_semi").select("key", "lid"), "hard-lines")
+        if not same.isEmpty():
+            own = near.join(same.select("lid").distinct(), "lid", "left_semi").where(F.length("line") <= DELETION_CHARS)
+            one = written(_deletion_links(own), "one-edit-links")
+            classes = components(one).withColumnRenamed("node", "lid")
+            same = same.join(classes, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+            apart = same.groupBy("key").agg(F.min("component").alias("_min"), F.max("component").alias("_max")).where("_min <> _max").select("key")
+            same = written(same.join(apart, "key", "left_semi"), "hard-classes")
+            right = same.select("key", F.col("lid").alias("b"), F.col("component").alias("_other"))
+            left = same.select("key", F.col("lid").alias("a"), "component")
+            pairs = pairs.unionByName(left.join(right, "key").where("a < b and component <> _other").select("a", "b")).unionByName(one)
     most = max(edits_of)
     sides = (
         pairs.distinct()

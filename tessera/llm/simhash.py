@@ -15,6 +15,8 @@ from tessera.llm.common import small, written
 from tessera.llm.graph import components
 
 BITS = 64
+#: Blocks into which the fingerprints of crowded buckets are cut.
+FINER = 11
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -61,7 +63,8 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 7, crowd: int =
     Two fingerprints with at most ``distance`` differing bits agree in at least ``blocks`` -
     ``distance`` of the blocks, so that they share the bucket of one choice of blocks. Buckets of up
     to ``crowd`` fingerprints are joined with themselves and each pair is verified. Pairs within
-    larger buckets would grow with the square of a group, so that fingerprints in those meet
+    larger buckets would grow with the square of a group. Their fingerprints are cut into FINER blocks, of which
+    again ``distance`` at most differ, so that buckets share more bits; those that are still crowded meet
     another way, as exact: each emits all values within distance/2 flipped bits. Two fingerprints
     share such a value if and only if they differ in at most ``distance`` bits, so that all that
     share one link to the smallest of them; at most as many as a ball has values can do so. ``distance`` must be even, and less than ``blocks``.
@@ -80,8 +83,12 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 7, crowd: int =
     pairs = cold.select("key", F.col("fp").alias("a")).join(cold.select("key", F.col("fp").alias("b")), "key")
     pairs = pairs.select("a", "b").unionByName(buckets.where("n = 2").select("a", "b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    hot = shared.where(F.col("n") > crowd).select("fp").distinct()
-    return pairs.where((F.col("a") < F.col("b")) & close).unionByName(ball_links(hot, distance // 2)).distinct()
+    links = pairs.where((F.col("a") < F.col("b")) & close)
+    hot = written(shared.where(F.col("n") > crowd).select("fp").distinct(), "crowded-fingerprints")
+    if not hot.isEmpty():
+        finer = blocks < FINER and distance < FINER
+        links = links.unionByName(near_links(hot, distance, FINER, crowd) if finer else ball_links(hot, distance // 2))
+    return links.distinct()
 
 
 def ball_links(fps: DataFrame, radius: int) -> DataFrame:
@@ -101,6 +108,14 @@ def ball_links(fps: DataFrame, radius: int) -> DataFrame:
     return stars.select(F.explode("all").alias("a"), "b").where("a <> b")
 
 
+def blocks_for(rows: int, distance: int) -> int:
+    """The least number of blocks, from ``distance`` + 3, whose buckets hold few of so many distinct fingerprints by chance."""
+    blocks = distance + 3
+    while rows > 1 << (BITS * (blocks - distance) // blocks):
+        blocks += 1
+    return blocks
+
+
 def simhash_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4
 ) -> DataFrame:
@@ -116,7 +131,8 @@ def simhash_dedup(
     """
     rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    linked = components(near_links(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
+    blocks = blocks_for(distinct.count(), distance)
+    linked = components(near_links(distinct.select("fp"), distance, blocks)).withColumnRenamed("node", "fp")
     classes = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = classes.join(named, "component").select("fp", "component_id")

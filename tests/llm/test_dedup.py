@@ -258,3 +258,25 @@ def test_line_dedup_edits_grow_with_length(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.n_dropped for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+@pytest.mark.parametrize("longest", [2000, 0])
+def test_lines_with_a_running_number(spark, monkeypatch, longest):
+    """A template with numbers crowds every chunk: all its lines are linked, with or without the links by deletions."""
+    monkeypatch.setattr(ld, "DELETION_CHARS", longest)
+    lines = [f"Chapter {i // 3} of the long report on the state of the river banks, page {i} of its second volume" for i in range(60)]
+    lines += [x.replace("river banks", "harbour walls and sea gates") for x in lines]
+    sets = Sets(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j in range(i):
+            if abs(len(a) - len(lines[j])) <= 3 and edits(a, lines[j]) <= 3:
+                sets.join(i, j)
+    df = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    got = {r.node: r.component for r in components(ld.near_by_length(df, crowd=10)).collect()}
+    assert [got.get(i, i) for i in range(len(lines))] == [sets.find(i) for i in range(len(lines))]
+
+
+def test_blocks_grow_with_the_rows():
+    from tessera.llm.simhash import blocks_for
+
+    assert [blocks_for(n, 4) for n in (10, 1 << 27, 1 << 28, 1 << 34)] == [7, 7, 8, 9]
