@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -243,14 +241,14 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
     edits_of = {t: [low for low, e in bands if e == t] for _, t in bands}
 
     def keyed_by(rows: DataFrame, parts) -> DataFrame:
-        """Keys of rows of lid, line and low, by ``parts`` of (edits, least length of the band) chunks."""
-        out = []
+        """Keys of rows of lid, line and low, by ``parts`` of (edits, least length of the band) chunks, in one pass."""
+        keys, edits_at = F.lit(None), F.lit(None).cast("int")
         for t, k in sorted({(t, parts(t, low)) for low, t in bands}):
             lows = [low for low in edits_of[t] if parts(t, low) == k]
-            own = rows.where(F.col("low").between(lows[0], lows[-1]))
-            keys = own.select("lid", "low", F.explode(chunk_keys(F.col("line"), F.col("low"), t, k)).alias("k"))
-            out.append(keys.select("lid", "low", F.lit(t).alias("t"), "k.*"))
-        return reduce(DataFrame.unionByName, out)
+            here = F.col("low").between(lows[0], lows[-1])
+            keys = F.when(here, chunk_keys(F.col("line"), F.col("low"), t, k)).otherwise(keys)
+            edits_at = F.when(here, t).otherwise(edits_at)
+        return rows.select("lid", "low", edits_at.alias("t"), F.explode(keys).alias("k")).select("lid", "low", "t", "k.*")
 
     keyed = keyed_by(banded, lambda t, low: t + 1).select("lid", "low", "key")
     sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
@@ -268,12 +266,12 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
             fine.groupBy("lid", "low", "t", "part")
             .agg((F.max("n") <= crowd).alias("free"))
             .groupBy("lid", "low", "t")
-            .agg(F.count_if("free").alias("free"))
-            .where("free <= t")
-            .select("lid", "low")
+            .agg(F.collect_set(F.when(F.col("free"), F.col("part"))).alias("free"))
+            .where("size(free) <= t")
+            .join(crowded.select("lid", "low", F.length("line").alias("chars")), ["lid", "low"])
         )
         pairs = pairs.unionByName(_pairs(fine.where((F.col("n") > 1) & (F.col("n") <= crowd))))
-        same = written(many.join(hard, ["lid", "low"], "left_semi").select("key", "lid"), "hard-lines")
+        same = written(many.select("key", "lid", "low").join(hard, ["lid", "low"]), "hard-lines")
         if not same.isEmpty():
             own = near.join(same.select("lid").distinct(), "lid", "left_semi").where(F.length("line") <= DELETION_CHARS)
             one = written(_deletion_links(own), "one-edit-links")
@@ -281,9 +279,11 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
             same = same.join(classes, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
             apart = same.groupBy("key").agg(F.min("component").alias("_min"), F.max("component").alias("_max")).where("_min <> _max").select("key")
             same = written(same.join(apart, "key", "left_semi"), "hard-classes")
-            right = same.select("key", F.col("lid").alias("b"), F.col("component").alias("_other"))
-            left = same.select("key", F.col("lid").alias("a"), "component")
-            pairs = pairs.unionByName(left.join(right, "key").where("a < b and component <> _other").select("a", "b")).unionByName(one)
+            right = same.select("key", F.col("lid").alias("b"), F.col("component").alias("_other"), F.col("free").alias("_free"), F.col("chars").alias("_chars"))
+            left = same.select("key", F.col("lid").alias("a"), "component", "free", "chars", "t")
+            # an edit touches one chunk; a free one that none touches has made the pair meet already
+            near_by = "a < b and component <> _other and abs(chars - _chars) <= t and size(array_union(free, _free)) <= t"
+            pairs = pairs.unionByName(left.join(right, "key").where(near_by).select("a", "b")).unionByName(one)
     most = max(edits_of)
     sides = (
         pairs.distinct()
