@@ -226,7 +226,7 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
     t + 1 fine chunks that are not crowded meets all its neighbours there. Lines with fewer, which differ
     from the crowd in next to nothing, such as those with a running number, are first linked where one edit parts them,
     without pairs (``_deletion_links``); only those that this leaves in different classes are compared in pairs within their
-    crowded chunk. No class of linked lines is split.
+    crowded chunk, first by their chunks' keys: all but t chunks must agree. No class of linked lines is split.
     """
     bands, n = _bands(edits), F.col("n")
     own, lower, allowed = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("int")
@@ -264,9 +264,9 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
         fine = written(fine.join(fine.groupBy("key").agg(F.count("*").alias("n")), "key"), "fine-sizes")
         hard = (
             fine.groupBy("lid", "low", "t", "part")
-            .agg((F.max("n") <= crowd).alias("free"))
+            .agg((F.max("n") <= crowd).alias("free"), F.collect_set("key").alias("keys"))
             .groupBy("lid", "low", "t")
-            .agg(F.collect_set(F.when(F.col("free"), F.col("part"))).alias("free"))
+            .agg(F.collect_set(F.when(F.col("free"), F.col("part"))).alias("free"), F.flatten(F.collect_list("keys")).alias("keys"), F.count("*").alias("parts"))
             .where("size(free) <= t")
             .join(crowded.select("lid", "low", F.length("line").alias("chars")), ["lid", "low"])
         )
@@ -279,10 +279,14 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
             same = same.join(classes, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
             apart = same.groupBy("key").agg(F.min("component").alias("_min"), F.max("component").alias("_max")).where("_min <> _max").select("key")
             same = written(same.join(apart, "key", "left_semi"), "hard-classes")
-            right = same.select("key", F.col("lid").alias("b"), F.col("component").alias("_other"), F.col("free").alias("_free"), F.col("chars").alias("_chars"))
-            left = same.select("key", F.col("lid").alias("a"), "component", "free", "chars", "t")
-            # an edit touches one chunk; a free one that none touches has made the pair meet already
-            near_by = "a < b and component <> _other and abs(chars - _chars) <= t and size(array_union(free, _free)) <= t"
+            right = same.select("key", F.col("lid").alias("b"), F.col("component").alias("_other"), F.col("free").alias("_free"), F.col("chars").alias("_chars"), F.col("keys").alias("_keys"))
+            left = same.select("key", F.col("lid").alias("a"), "component", "free", "chars", "keys", "parts", "t")
+            # an edit touches one chunk: a free one that none touches has made the pair meet already, and each chunk
+            # that none touches gives both lines a common key
+            near_by = (
+                "a < b and component <> _other and abs(chars - _chars) <= t and size(array_union(free, _free)) <= t "
+                "and size(array_intersect(keys, _keys)) >= parts - t"
+            )
             pairs = pairs.unionByName(left.join(right, "key").where(near_by).select("a", "b")).unionByName(one)
     most = max(edits_of)
     sides = (
