@@ -216,17 +216,45 @@ def _pairs(keyed: DataFrame) -> DataFrame:
     return keyed.select("key", F.col("lid").alias("a")).join(right, "key").where("a < b").select("a", "b")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair with the smaller side first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _hard_pairs(hard: DataFrame, near: DataFrame, crowd: int) -> DataFrame:
+    """Links and candidate pairs between lines that have no more free chunks than edits.
+
+    Lines that one edit parts are linked by deletions. Those that this leaves in different classes meet by a line's rarest
+    chunks, also where a crowd shares them, if their lengths and chunks allow it: an edit touches one chunk; a free one that
+    none touches has made the pair meet elsewhere, and each chunk that none touches gives both a common key.
+    """
+    own = near.join(hard.select("lid").distinct(), "lid", "left_semi").where(F.length("line") <= DELETION_CHARS)
+    one = written(_deletion_links(own), "one-edit-links")
+    classes = components(one).withColumnRenamed("node", "lid")
+    rows = hard.withColumn("keys", F.flatten(F.transform("chunks", lambda x: x["keys"]))).withColumn("parts", F.size("chunks"))
+    rows = written(rows.join(classes, "lid", "left").withColumn("component", F.coalesce("component", "lid")).drop("chunks"), "hard-lines")
+    right = rows.select(F.explode("keys").alias("key"), F.col("lid").alias("b"), F.col("component").alias("_other"), F.col("free").alias("_free"),
+                        F.col("chars").alias("_chars"), F.col("keys").alias("_keys"))
+    apart = right.groupBy("key").agg(F.min("_other").alias("_min"), F.max("_other").alias("_max")).where("_min <> _max").select("key")
+    crowded = F.filter("rarest", lambda x: x["most"] > crowd)
+    left = rows.select(F.explode(F.flatten(F.transform(crowded, lambda x: x["keys"]))).alias("key"), F.col("lid").alias("a"), "component", "free", "chars", "keys", "parts", "t")
+    left = left.join(apart, "key", "left_semi")
+    near_by = (
+        "a <> b and component <> _other and abs(chars - _chars) <= t and size(array_union(free, _free)) <= t "
+        "and size(array_intersect(keys, _keys)) >= parts - t"
+    )
+    return _ordered(left.join(right, "key").where(near_by)).unionByName(one.select("a", "b"))
+
+
 def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> DataFrame:
     """Links ``a``, ``b`` between ``lid`` of distinct ``line``s within the edits that ``edits`` allows the shorter one.
 
     ``edits`` has (least length, edits) ascending; lines below the first length are not compared. Lines
     meet in bands of lengths; one that is little longer than a band enters that band too. In each, lines
-    that share one of t + 1 chunks are compared pair by pair, unless more than ``crowd`` share it. The lines
-    of such crowded chunks are cut finer: of these chunks, t at most are touched, so that a line with
-    t + 1 fine chunks that are not crowded meets all its neighbours there. Lines with fewer, which differ
-    from the crowd in next to nothing, such as those with a running number, are first linked where one edit parts them,
-    without pairs (``_deletion_links``); only those that this leaves in different classes are compared in pairs within their
-    crowded chunk, first by their chunks' keys: all but t chunks must agree. No class of linked lines is split.
+    that share one of t + 1 chunks are compared pair by pair, unless more than ``crowd`` share it. The lines of such
+    crowded chunks are cut finer. Of any t + 1 fine chunks of a line one is untouched, so that it meets all its
+    neighbours in its t + 1 rarest ones. Lines with less than t + 1 that no crowd shares, which differ from the crowd in
+    next to nothing, such as those with a running number, are linked by ``_hard_pairs``. No class of linked lines is split.
     """
     bands, n = _bands(edits), F.col("n")
     own, lower, allowed = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("int")
@@ -262,32 +290,21 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
     if not crowded.isEmpty():
         fine = written(keyed_by(crowded, lambda t, low: (2 if low < 180 else 6) * (t + 1)), "fine-keys")
         fine = written(fine.join(fine.groupBy("key").agg(F.count("*").alias("n")), "key"), "fine-sizes")
-        hard = (
+        chunk = F.struct("most", "part", "keys")
+        cut = written(
             fine.groupBy("lid", "low", "t", "part")
-            .agg((F.max("n") <= crowd).alias("free"), F.collect_set("key").alias("keys"))
+            .agg(F.max("n").alias("most"), F.collect_set("key").alias("keys"))
             .groupBy("lid", "low", "t")
-            .agg(F.collect_set(F.when(F.col("free"), F.col("part"))).alias("free"), F.flatten(F.collect_list("keys")).alias("keys"), F.count("*").alias("parts"))
-            .where("size(free) <= t")
-            .join(crowded.select("lid", "low", F.length("line").alias("chars")), ["lid", "low"])
+            .agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
+            .withColumn("rarest", F.expr("slice(chunks, 1, t + 1)"))
+            .withColumn("free", F.transform(F.filter("chunks", lambda x: x["most"] <= crowd), lambda x: x["part"]))
+            .join(crowded.select("lid", "low", F.length("line").alias("chars")), ["lid", "low"]),
+            "cut-lines",
         )
-        pairs = pairs.unionByName(_pairs(fine.where((F.col("n") > 1) & (F.col("n") <= crowd))))
-        same = written(many.select("key", "lid", "low").join(hard, ["lid", "low"]), "hard-lines")
-        if not same.isEmpty():
-            own = near.join(same.select("lid").distinct(), "lid", "left_semi").where(F.length("line") <= DELETION_CHARS)
-            one = written(_deletion_links(own), "one-edit-links")
-            classes = components(one).withColumnRenamed("node", "lid")
-            same = same.join(classes, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
-            apart = same.groupBy("key").agg(F.min("component").alias("_min"), F.max("component").alias("_max")).where("_min <> _max").select("key")
-            same = written(same.join(apart, "key", "left_semi"), "hard-classes")
-            right = same.select("key", F.col("lid").alias("b"), F.col("component").alias("_other"), F.col("free").alias("_free"), F.col("chars").alias("_chars"), F.col("keys").alias("_keys"))
-            left = same.select("key", F.col("lid").alias("a"), "component", "free", "chars", "keys", "parts", "t")
-            # an edit touches one chunk: a free one that none touches has made the pair meet already, and each chunk
-            # that none touches gives both lines a common key
-            near_by = (
-                "a < b and component <> _other and abs(chars - _chars) <= t and size(array_union(free, _free)) <= t "
-                "and size(array_intersect(keys, _keys)) >= parts - t"
-            )
-            pairs = pairs.unionByName(left.join(right, "key").where(near_by).select("a", "b")).unionByName(one)
+        probes = cut.select("lid", F.explode("rarest").alias("r")).select("lid", "r.most", F.explode("r.keys").alias("key"))
+        met = fine.where((F.col("n") > 1) & (F.col("n") <= crowd)).select("key", F.col("lid").alias("b"))
+        free = probes.where(F.col("most") <= crowd).select("key", F.col("lid").alias("a")).join(met, "key").where("a <> b")
+        pairs = pairs.unionByName(_ordered(free)).unionByName(_hard_pairs(cut.where("size(free) <= t"), near, crowd))
     most = max(edits_of)
     sides = (
         pairs.distinct()
