@@ -62,7 +62,7 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 7, crowd: int =
 
     Two fingerprints with at most ``distance`` differing bits agree in at least ``blocks`` -
     ``distance`` of the blocks, so that they share the bucket of one choice of blocks. Buckets of up
-    to ``crowd`` fingerprints are joined with themselves and each pair is verified. Pairs within
+    to ``crowd`` fingerprints are compared whole, and give a row for a fingerprint and not for a pair (``bucket_links``). Pairs within
     larger buckets would grow with the square of a group. Their fingerprints are cut into FINER blocks, of which
     again ``distance`` at most differ, so that buckets share more bits; those that are still crowded meet
     another way, as exact: each emits all values within distance/2 flipped bits. Two fingerprints
@@ -79,11 +79,9 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 7, crowd: int =
     buckets = written(sizes.where("n > 1"), "buckets")
     large = buckets.where("n > 2").select("key", "n")
     shared = written(keyed.join(F.broadcast(large) if small(large) else large, "key"), "shared-buckets")
-    cold = shared.where(F.col("n") <= crowd)
-    pairs = cold.select("key", F.col("fp").alias("a")).join(cold.select("key", F.col("fp").alias("b")), "key")
-    pairs = pairs.select("a", "b").unionByName(buckets.where("n = 2").select("a", "b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    links = pairs.where((F.col("a") < F.col("b")) & close)
+    links = buckets.where("n = 2").select("a", "b").where(close)
+    links = links.unionByName(bucket_links(shared.where(F.col("n") <= crowd), distance))
     hot = written(shared.where(F.col("n") > crowd).select("fp").distinct(), "crowded-fingerprints")
     if not hot.isEmpty():
         finer = blocks < FINER and distance < FINER
@@ -91,6 +89,34 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 7, crowd: int =
     return links.distinct()
 
 
+def bucket_links(shared: DataFrame, distance: int) -> DataFrame:
+    """Links of the fingerprints ``fp`` of each ``key``, few to a key, to the smallest that close pairs within the key lead to."""
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, least = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for fps in batch.column("all"):
+                fps = np.sort(fps.values.to_numpy())
+                first = _least_reachable(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance)
+                moved = first != np.arange(len(fps))
+                own.append(fps[moved])
+                least.append(fps[first[moved]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.concatenate(least))], ["a", "b"])
+
+    return shared.groupBy("key").agg(F.collect_set("fp").alias("all")).select("all").mapInArrow(stars, "a bigint, b bigint")
+
+
+def _least_reachable(close: np.ndarray) -> np.ndarray:
+    """The least index that each index reaches in a symmetric matrix with a true diagonal."""
+    first = close.argmax(axis=1)
+    while True:
+        after = np.where(close, first, len(first)).min(axis=1)
+        after = np.minimum(after, after[after])
+        if (after == first).all():
+            return first
+        first = after
+
+
 def ball_links(fps: DataFrame, radius: int) -> DataFrame:
     """Links between fingerprints whose balls of ``radius`` flipped bits meet, as stars."""
     flips = [sum(1 << b for b in chosen) for r in range(radius + 1) for chosen in combinations(range(BITS), r)]

@@ -121,6 +121,15 @@ def test_crowded_fingerprints(spark, crowd):
         assert {f: got.get(f, f) for f in fps} == want
 
 
+def test_a_bucket_gives_no_row_for_a_pair(spark):
+    """All of a family are close: 1,830 pairs, but each bucket links a fingerprint once."""
+    fps = [0] + [1 << b for b in range(60)]
+    links = near_links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    assert links.count() <= 2 * len(fps)
+    got = {r.node: r.component for r in components(links).collect()}
+    assert got == dict.fromkeys(fps, 0)
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
