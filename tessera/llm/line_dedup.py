@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -195,6 +199,8 @@ def _bands(edits) -> list[tuple[int, int]]:
 def chunk_keys(line: Column, low: Column, threshold: int, parts: int) -> Column:
     """An array of (part, key) of a line in the band of least length ``low``, the same for both lines of a pair.
 
+    ``line`` has four bytes for each character (``wide``), so that a chunk is reached without counting characters up to it.
+
     The first ``low`` characters are cut into ``parts`` chunks of one size. A chunk of one line that no edit
     touches stands in the other line, shifted by at most ``threshold``. If there is one chunk more than
     edits, an untouched one has as many edits before it as chunks, so that chunk i (from 1) need only be
@@ -205,15 +211,59 @@ def chunk_keys(line: Column, low: Column, threshold: int, parts: int) -> Column:
     for i in range(parts):
         ruler = RULERS[min(i, threshold) if parts == threshold + 1 else threshold]
         for x in ruler:
-            key = F.xxhash64(low, F.lit(parts), F.lit(i), F.substring(line, size * i + 1 + x, size - max(ruler)))
+            key = F.xxhash64(low, F.lit(parts), F.lit(i), F.substring(line, 4 * (size * i + x) + 1, 4 * (size - max(ruler))))
             keys.append(F.struct(F.lit(i).alias("part"), key.alias("key")))
     return F.array(*keys)
 
 
-def _pairs(keyed: DataFrame) -> DataFrame:
-    """All ``a`` < ``b`` of the ``lid`` that share a ``key``."""
-    right = keyed.select("key", F.col("lid").alias("b"))
-    return keyed.select("key", F.col("lid").alias("a")).join(right, "key").where("a < b").select("a", "b")
+def wide(line: Column) -> Column:
+    """The text with four bytes for each character."""
+    return F.encode(line, "UTF-32")
+
+
+#: Four bits for a count modulo 8: as many differ between two counts as they are apart around the circle.
+_CIRCLE = np.array([0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000], np.uint64)
+
+
+def with_counts(lines: DataFrame) -> DataFrame:
+    """Add ``c1`` and ``c2``, how often characters of 32 classes stand in ``line``, by ``_CIRCLE``: an edit changes two bits at most."""
+    places = np.arange(16, dtype=np.uint64) * np.uint64(4)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = np.zeros((batch.num_rows, 2), np.uint64)
+            for i, line in enumerate(batch.column("line")):
+                codes = np.frombuffer(line.as_py().encode("utf-32-le", "surrogatepass"), np.uint32)
+                bits = _CIRCLE[np.bincount(codes & 31, minlength=32) & 7].reshape(2, 16) << places
+                packed[i] = bits.sum(axis=1, dtype=np.uint64)
+            sides = [pa.array(np.ascontiguousarray(packed[:, k]).view(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("lid"), batch.column("line"), *sides], ["lid", "line", "c1", "c2"])
+
+    return lines.select("lid", "line").mapInArrow(scan, "lid bigint, line string, c1 bigint, c2 bigint")
+
+
+def count_keys(key: Column, changes: int) -> Column:
+    """An array of keys of a row of ``key``, ``c1`` and ``c2``: two rows that differ in at most so many counts have one in common.
+
+    The classes are dealt into one group more than that; a key is a hash of the counts of one group.
+    """
+    groups, keys = changes + 1, []
+    for g in range(groups):
+        mask = sum(0b1111 << (4 * c) for c in range(g, 32, groups))
+        own = [F.col(name).bitwiseAND(F.lit(part - (1 << 64) if part >> 63 else part)) for name, part in (("c1", mask & ((1 << 64) - 1)), ("c2", mask >> 64))]
+        keys.append(F.xxhash64(key, F.lit(g), *own))
+    return F.array(*keys)
+
+
+#: Of two rows, what ``t`` edits can't part: lengths, and counts of characters.
+ALIKE = "abs(chars - _chars) <= {t} and bit_count(c1 ^ _c1) + bit_count(c2 ^ _c2) <= 2 * {t}"
+
+
+def _pairs(keyed: DataFrame, edits: int) -> DataFrame:
+    """All ``a`` < ``b`` of the ``lid`` that share a ``key`` and are ALIKE for so many edits."""
+    right = keyed.select("key", F.col("lid").alias("b"), *[F.col(c).alias(f"_{c}") for c in ("chars", "c1", "c2")])
+    left = keyed.select("key", F.col("lid").alias("a"), "chars", "c1", "c2")
+    return left.join(right, "key").where(f"a < b and {ALIKE.format(t=edits)}").select("a", "b")
 
 
 def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> DataFrame:
@@ -225,8 +275,8 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
     of such crowded chunks are cut finer: of these chunks, t at most are touched, so that a line with
     t + 1 fine chunks that are not crowded meets all its neighbours there. Lines with fewer, which differ
     from the crowd in next to nothing, such as those with a running number, are first linked where one edit parts them,
-    without pairs (``_deletion_links``); only those that this leaves in different classes are compared in pairs within their
-    crowded chunk, first by their chunks' keys: all but t chunks must agree. No class of linked lines is split.
+    without pairs (``_deletion_links``); those that this leaves in different classes meet within their crowded chunk where a group
+    of character counts is equal (``count_keys``). All pairs are ALIKE before their texts are compared. No class of linked lines is split.
     """
     bands, n = _bands(edits), F.col("n")
     own, lower, allowed = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("int")
@@ -236,42 +286,44 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
             before, reach = bands[i - 1]
             lower = F.when(n >= low, F.when(n < low + reach, before)).otherwise(lower)
     # exploded, so that the length is counted once and not in every comparison
-    sized = lines.select("lid", "line", F.explode(F.array(F.length("line"))).alias("n"))
-    banded = sized.select("lid", "line", F.explode(F.array_compact(F.array(own, lower))).alias("low"))
+    sized = lines.select("lid", F.explode(F.array(F.struct(wide(F.col("line")).alias("wide"), F.length("line").alias("n")))).alias("s")).select("lid", "s.*")
+    banded = sized.select("lid", "wide", F.col("n").alias("chars"), F.explode(F.array_compact(F.array(own, lower))).alias("low"))
     edits_of = {t: [low for low, e in bands if e == t] for _, t in bands}
+    most = max(edits_of)
 
     def keyed_by(rows: DataFrame, parts) -> DataFrame:
-        """Keys of rows of lid, line and low, by ``parts`` of (edits, least length of the band) chunks, in one pass."""
+        """Keys of rows of lid, wide, chars and low, by ``parts`` of (edits, least length of the band) chunks, in one pass."""
         keys, edits_at = F.lit(None), F.lit(None).cast("int")
         for t, k in sorted({(t, parts(t, low)) for low, t in bands}):
             lows = [low for low in edits_of[t] if parts(t, low) == k]
             here = F.col("low").between(lows[0], lows[-1])
-            keys = F.when(here, chunk_keys(F.col("line"), F.col("low"), t, k)).otherwise(keys)
+            keys = F.when(here, chunk_keys(F.col("wide"), F.col("low"), t, k)).otherwise(keys)
             edits_at = F.when(here, t).otherwise(edits_at)
-        return rows.select("lid", "low", edits_at.alias("t"), F.explode(keys).alias("k")).select("lid", "low", "t", "k.*")
+        return rows.select("lid", "chars", "low", edits_at.alias("t"), F.explode(keys).alias("k")).select("lid", "chars", "low", "t", "k.*")
 
-    keyed = keyed_by(banded, lambda t, low: t + 1).select("lid", "low", "key")
-    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
-    shared = written(keyed.join(F.broadcast(sizes) if small(sizes) else sizes, "key"), "line-keys")
+    keyed = keyed_by(banded, lambda t, low: t + 1).select("lid", "chars", "low", "key")
+    # counted where the keys are, so that they are made and shuffled once
+    shared = written(keyed.withColumn("n", F.expr("count(*) over (partition by key)")).where("n > 1"), "line-keys")
     lids = written(shared.select("lid").distinct(), "line-ids")
-    near = written(lines.join(F.broadcast(lids) if small(lids) else lids, "lid").select("lid", "line"), "near-lines")
+    near = written(lines.join(F.broadcast(lids) if small(lids) else lids, "lid").transform(with_counts), "near-lines")
+    counts = near.select("lid", "c1", "c2")
+    counts = F.broadcast(counts) if small(near) else counts
 
     many = shared.where(F.col("n") > crowd)
-    pairs = _pairs(shared.where(F.col("n") <= crowd))
-    crowded = written(many.select("lid", "low").distinct().join(near, "lid"), "crowded-lines")
+    pairs = _pairs(shared.where(F.col("n") <= crowd).join(counts, "lid"), most)
+    crowded = written(many.select("lid", "chars", "low").distinct().join(near.select("lid", wide(F.col("line")).alias("wide")), "lid"), "crowded-lines")
     if not crowded.isEmpty():
         fine = written(keyed_by(crowded, lambda t, low: (2 if low < 180 else 6) * (t + 1)), "fine-keys")
         fine = written(fine.join(fine.groupBy("key").agg(F.count("*").alias("n")), "key"), "fine-sizes")
         hard = (
-            fine.groupBy("lid", "low", "t", "part")
-            .agg((F.max("n") <= crowd).alias("free"), F.collect_set("key").alias("keys"))
-            .groupBy("lid", "low", "t")
-            .agg(F.collect_set(F.when(F.col("free"), F.col("part"))).alias("free"), F.flatten(F.collect_list("keys")).alias("keys"), F.count("*").alias("parts"))
+            fine.groupBy("lid", "chars", "low", "t", "part")
+            .agg((F.max("n") <= crowd).alias("free"))
+            .groupBy("lid", "chars", "low", "t")
+            .agg(F.collect_set(F.when(F.col("free"), F.col("part"))).alias("free"))
             .where("size(free) <= t")
-            .join(crowded.select("lid", "low", F.length("line").alias("chars")), ["lid", "low"])
         )
-        pairs = pairs.unionByName(_pairs(fine.where((F.col("n") > 1) & (F.col("n") <= crowd))))
-        same = written(many.select("key", "lid", "low").join(hard, ["lid", "low"]), "hard-lines")
+        pairs = pairs.unionByName(_pairs(fine.where((F.col("n") > 1) & (F.col("n") <= crowd)).join(counts, "lid"), most))
+        same = written(many.select("key", "lid", "low").join(hard, ["lid", "low"]).join(counts, "lid"), "hard-lines")
         if not same.isEmpty():
             own = near.join(same.select("lid").distinct(), "lid", "left_semi").where(F.length("line") <= DELETION_CHARS)
             one = written(_deletion_links(own), "one-edit-links")
@@ -279,16 +331,13 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
             same = same.join(classes, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
             apart = same.groupBy("key").agg(F.min("component").alias("_min"), F.max("component").alias("_max")).where("_min <> _max").select("key")
             same = written(same.join(apart, "key", "left_semi"), "hard-classes")
-            right = same.select("key", F.col("lid").alias("b"), F.col("component").alias("_other"), F.col("free").alias("_free"), F.col("chars").alias("_chars"), F.col("keys").alias("_keys"))
-            left = same.select("key", F.col("lid").alias("a"), "component", "free", "chars", "keys", "parts", "t")
-            # an edit touches one chunk: a free one that none touches has made the pair meet already, and each chunk
-            # that none touches gives both lines a common key
-            near_by = (
-                "a < b and component <> _other and abs(chars - _chars) <= t and size(array_union(free, _free)) <= t "
-                "and size(array_intersect(keys, _keys)) >= parts - t"
-            )
+            met = same.withColumn("key", F.explode(count_keys(F.col("key"), 2 * most)))
+            names = ("component", "free", "chars", "c1", "c2")
+            right = met.select("key", F.col("lid").alias("b"), *[F.col(c).alias(f"_{c}") for c in names])
+            left = met.select("key", F.col("lid").alias("a"), *names, "t")
+            # an edit touches one chunk: a free one that none touches has made the pair meet already
+            near_by = f"a < b and component <> _component and {ALIKE.format(t='t')} and size(array_union(free, _free)) <= t"
             pairs = pairs.unionByName(left.join(right, "key").where(near_by).select("a", "b")).unionByName(one)
-    most = max(edits_of)
     sides = (
         pairs.distinct()
         .join(near.select(F.col("lid").alias("a"), F.col("line").alias("left")), "a")

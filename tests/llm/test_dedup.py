@@ -202,6 +202,25 @@ def plain_lines(rows, least=32):
     }
 
 
+def test_counts_of_characters_prune_a_family(spark):
+    """Of lines that share a key, those within three edits meet and next to no others: before, all 11,175 pairs did."""
+    random.seed(5)
+    words = ["".join(random.choices("abcdefghijklmnop", k=6)) for _ in range(400)]
+    lines = []
+    for _ in range(100):
+        own = words[:20]
+        for at in random.sample(range(4, 20), 6):
+            own[at] = random.choice(words)
+        lines.append(" ".join(own))
+    lines += [changed(line, 3) for line in lines[:50]]
+    df = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    counted = ld.with_counts(df).withColumn("chars", F.length("line")).withColumn("key", F.lit(1))
+    pairs = {(r.a, r.b) for r in ld._pairs(counted, 3).collect()}
+    keys = {r.lid: set(r.k) for r in counted.select("lid", ld.count_keys(F.col("key"), 6).alias("k")).collect()}
+    assert all((i, 100 + i) in pairs and keys[i] & keys[100 + i] for i in range(50))
+    assert len(pairs) < 500
+
+
 def test_line_dedup(spark):
     line = "a line that is long enough to count here"
     rows = [
