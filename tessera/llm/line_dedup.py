@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -221,25 +217,28 @@ def wide(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-#: Four bits for a count modulo 8: as many differ between two counts as they are apart around the circle.
-_CIRCLE = np.array([0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000], np.uint64)
+#: Characters are counted by their code modulo CLASSES; a number has four bits for each class of one SIDE, the highest unused, as sums must not overflow.
+CLASSES, SIDE = 30, 15
 
 
 def with_counts(lines: DataFrame) -> DataFrame:
-    """Add ``c1`` and ``c2``, how often characters of 32 classes stand in ``line``, by ``_CIRCLE``: an edit changes two bits at most."""
-    places = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    """Add ``c1`` and ``c2``, how often characters of CLASSES classes stand in ``line``, modulo 8: an edit changes two bits at most.
+
+    A count has the bits 0000, 0001, 0011, 0111, 1111, 1110, 1100, 1000: as many differ as two counts are apart around the circle.
+    """
+    nibbles = lambda bits: sum(bits << (4 * i) for i in range(SIDE))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = np.zeros((batch.num_rows, 2), np.uint64)
-            for i, line in enumerate(batch.column("line")):
-                codes = np.frombuffer(line.as_py().encode("utf-32-le", "surrogatepass"), np.uint32)
-                bits = _CIRCLE[np.bincount(codes & 31, minlength=32) & 7].reshape(2, 16) << places
-                packed[i] = bits.sum(axis=1, dtype=np.uint64)
-            sides = [pa.array(np.ascontiguousarray(packed[:, k]).view(np.int64)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("lid"), batch.column("line"), *sides], ["lid", "line", "c1", "c2"])
+    def circle(classes: Column, side: int) -> Column:
+        own = F.filter(classes, lambda c: c >= SIDE if side else c < SIDE)
+        one = lambda acc, c: (acc + F.call_function("shiftleft", F.lit(1).cast("long"), 4 * (c - side * SIDE))).bitwiseAND(F.lit(nibbles(7)))
+        # bit k is the highest of the count plus 3 - k
+        high = lambda n, k: F.shiftright((n + F.lit(nibbles(3 - k))).bitwiseAND(F.lit(nibbles(4))), 2)
+        return _let(F.aggregate(own, F.lit(0).cast("long"), one), lambda n: sum((F.shiftleft(high(n, k), k) for k in range(1, 4)), high(n, 0)))
 
-    return lines.select("lid", "line").mapInArrow(scan, "lid bigint, line string, c1 bigint, c2 bigint")
+    classes = F.transform(F.split("line", ""), lambda c: F.ascii(c) % CLASSES)
+    both = _let(classes, lambda c: F.struct(*[circle(c, side).alias(f"c{side + 1}") for side in (0, 1)]))
+    # exploded, so that the classes are found once
+    return lines.select("lid", "line", F.explode(F.array(both)).alias("c")).select("lid", "line", "c.*")
 
 
 def count_keys(key: Column, changes: int) -> Column:
@@ -249,8 +248,8 @@ def count_keys(key: Column, changes: int) -> Column:
     """
     groups, keys = changes + 1, []
     for g in range(groups):
-        mask = sum(0b1111 << (4 * c) for c in range(g, 32, groups))
-        own = [F.col(name).bitwiseAND(F.lit(part - (1 << 64) if part >> 63 else part)) for name, part in (("c1", mask & ((1 << 64) - 1)), ("c2", mask >> 64))]
+        masks = [sum(0b1111 << (4 * (c % SIDE)) for c in range(g, CLASSES, groups) if c // SIDE == side) for side in (0, 1)]
+        own = [F.col(name).bitwiseAND(F.lit(mask).cast("long")) for name, mask in zip(("c1", "c2"), masks, strict=True)]
         keys.append(F.xxhash64(key, F.lit(g), *own))
     return F.array(*keys)
 
@@ -293,13 +292,12 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
 
     def keyed_by(rows: DataFrame, parts) -> DataFrame:
         """Keys of rows of lid, wide, chars and low, by ``parts`` of (edits, least length of the band) chunks, in one pass."""
-        keys, edits_at = F.lit(None), F.lit(None).cast("int")
+        keys = F.lit(None)
         for t, k in sorted({(t, parts(t, low)) for low, t in bands}):
             lows = [low for low in edits_of[t] if parts(t, low) == k]
             here = F.col("low").between(lows[0], lows[-1])
             keys = F.when(here, chunk_keys(F.col("wide"), F.col("low"), t, k)).otherwise(keys)
-            edits_at = F.when(here, t).otherwise(edits_at)
-        return rows.select("lid", "chars", "low", edits_at.alias("t"), F.explode(keys).alias("k")).select("lid", "chars", "low", "t", "k.*")
+        return rows.select("lid", "chars", "low", F.explode(keys).alias("k")).select("lid", "chars", "low", "k.*")
 
     keyed = keyed_by(banded, lambda t, low: t + 1).select("lid", "chars", "low", "key")
     # counted where the keys are, so that they are made and shuffled once
@@ -314,15 +312,26 @@ def near_by_length(lines: DataFrame, edits=LENGTH_EDITS, crowd: int = 50) -> Dat
     crowded = written(many.select("lid", "chars", "low").distinct().join(near.select("lid", wide(F.col("line")).alias("wide")), "lid"), "crowded-lines")
     if not crowded.isEmpty():
         fine = written(keyed_by(crowded, lambda t, low: (2 if low < 180 else 6) * (t + 1)), "fine-keys")
-        fine = written(fine.join(fine.groupBy("key").agg(F.count("*").alias("n")), "key"), "fine-sizes")
+        # crowded keys are counted and taken out: no join gives a row for each key of a crowded chunk
+        hot = written(fine.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "crowded-keys")
+        sparse = written(fine.join(F.broadcast(hot) if small(hot) else hot, "key", "left_anti"), "sparse-keys")
+        at, ruler = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for low, t in bands:
+            at, ruler = F.when(F.col("low") >= low, t).otherwise(at), F.when(F.col("low") >= low, len(RULERS[t])).otherwise(ruler)
+        free = (
+            sparse.groupBy("lid", "low", "part")
+            .agg(F.count("*").alias("n"))
+            .where(F.col("n") == ruler)
+            .groupBy("lid", "low")
+            .agg(F.collect_set("part").alias("free"))
+        )
         hard = (
-            fine.groupBy("lid", "chars", "low", "t", "part")
-            .agg((F.max("n") <= crowd).alias("free"))
-            .groupBy("lid", "chars", "low", "t")
-            .agg(F.collect_set(F.when(F.col("free"), F.col("part"))).alias("free"))
+            crowded.select("lid", "chars", "low", at.alias("t"))
+            .join(free, ["lid", "low"], "left")
+            .withColumn("free", F.coalesce("free", F.array().cast("array<int>")))
             .where("size(free) <= t")
         )
-        pairs = pairs.unionByName(_pairs(fine.where((F.col("n") > 1) & (F.col("n") <= crowd)).join(counts, "lid"), most))
+        pairs = pairs.unionByName(_pairs(sparse.join(counts, "lid"), most))
         same = written(many.select("key", "lid", "low").join(hard, ["lid", "low"]).join(counts, "lid"), "hard-lines")
         if not same.isEmpty():
             own = near.join(same.select("lid").distinct(), "lid", "left_semi").where(F.length("line") <= DELETION_CHARS)

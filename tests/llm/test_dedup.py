@@ -221,6 +221,41 @@ def test_counts_of_characters_prune_a_family(spark):
     assert len(pairs) < 500
 
 
+def test_counts_of_characters_are_sql(spark):
+    """Counts modulo 8 around the circle, of any script, and without Python on the executors."""
+    random.seed(2)
+    lines = ["".join(random.choices("abcxyz 019.,ABÉéß漢😀", k=random.randrange(1, 300))) for _ in range(200)] + ["a" * 70_000]
+    counted = ld.with_counts(spark.createDataFrame(list(enumerate(lines)), "lid long, line string"))
+    for r in counted.collect():
+        counts = [0] * 30
+        for c in r.line:
+            counts[ord(c) % 30] += 1
+        circle = [[0b0000, 0b0001, 0b0011, 0b0111, 0b1111, 0b1110, 0b1100, 0b1000][n & 7] for n in counts]
+        assert [r.c1, r.c2] == [sum(x << (4 * i) for i, x in enumerate(circle[at : at + 15])) for at in (0, 15)]
+    assert "MapInArrow" not in counted._jdf.queryExecution().toString()
+
+
+def test_a_crowd_of_near_copies_gives_no_join_row_for_each_key(spark, monkeypatch):
+    """Keys of crowded chunks are counted and taken out; before, a join gave each of them its size."""
+    random.seed(9)
+    rows, plain = {}, ld.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        rows[name] = out.count()
+        if name != "fine-keys":
+            rows["largest"] = max(rows.get("largest", 0), rows[name])
+        return out
+
+    monkeypatch.setattr(ld, "written", counted)
+    family = "".join(random.choices("abcdefghij", k=300))
+    lines = sorted({changed(family, random.randrange(1, 3)) for _ in range(150)})
+    df = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    got = {r.node: r.component for r in components(ld.near_by_length(df, crowd=10)).collect()}
+    assert [got.get(i, i) for i in range(len(lines))] == [0] * len(lines)
+    assert rows["largest"] < rows["fine-keys"] / 2
+
+
 def test_line_dedup(spark):
     line = "a line that is long enough to count here"
     rows = [
