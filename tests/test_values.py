@@ -354,3 +354,32 @@ def test_streams_with_time_and_order(spark, tmp_path):
         for before, r in zip([None, *own], own, strict=False):
             total += r["v"]
             assert r["total"] == total and r["before"] == (None if before is None else before["v"])
+
+
+@pytest.mark.parametrize("most", ["10m", "-1"])
+def test_intervals(spark, monkeypatch, most):
+    monkeypatch.setattr(lookups, "BLOCK", 3)
+    points = [0.0, -0.0, 0.5, -10.0, -10.5, 9.999, 10.0, 19.999, 20.0, 35.0, None, float("nan")] + [7.0] * 20 + [n / 7 for n in range(-90, 200)]
+    bands = [(0.0, 10.0), (-10.0, 0.0), (-10.5, 35.0), (7.0, 7.0), (9.0, 8.0), (7.0, 7.5), (6.5, 7.0), (None, 5.0), (5.0, None), (20.0, 30.0), (20.0, 30.0)]
+    df = spark.createDataFrame([(i, p, {"a": i}) for i, p in enumerate(points)], "id long, p double, m map<string,long>")
+    table = spark.createDataFrame([(i, *b) for i, b in enumerate(bands)], "t long, low double, high double")
+    want = [(i, t) for i, p in enumerate(points) for t, (a, b) in enumerate(bands) if None not in (p, a, b) and a <= p < b]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    try:
+        got = lookups.in_interval(df, "p", table, "low", "high", 10)
+        assert got.columns == ["id", "p", "m", "t", "low", "high"]
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r["id"], r["t"]) for r in rows) == sorted(want)
+    assert all(r["m"] == {"a": r["id"]} and (r["low"], r["high"]) == bands[r["t"]] for r in rows)
+
+
+def test_pairs_of_intervals_take_few_bytes(spark, tmp_path):
+    df = spark.range(50_000).selectExpr("id", "pmod(xxhash64(id), 1000000) / 1000 as p")
+    table = spark.range(1_000).selectExpr("id as t", "pmod(xxhash64(id, 1), 1000000) / 1000 as low").withColumn("high", F.col("low") + 50)
+    out = str(tmp_path / "pairs")
+    lookups.in_interval(df, "p", table, "low", "high", 50).select("id", "t").write.parquet(out)
+    rows = spark.read.parquet(out).count()
+    assert rows > 2_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < rows  # under a byte a pair
