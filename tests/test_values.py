@@ -383,3 +383,17 @@ def test_pairs_of_intervals_take_few_bytes(spark, tmp_path):
     rows = spark.read.parquet(out).count()
     assert rows > 2_000_000
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < rows  # under a byte a pair
+
+
+def test_pairs_of_one_cell_are_dealt_over_tasks(spark):
+    df = spark.range(2_000).selectExpr("id", "id / 100 as p")
+    table = spark.range(200).selectExpr("id as t", "id / 20 as low", "id / 20 + 5 as high")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lookups.in_interval(df, "p", table, "low", "high", 50)
+        rows = got.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = sum(t / 20 <= i / 100 < t / 20 + 5 for i in range(2_000) for t in range(200))
+    assert sum(r["count"] for r in rows) == want
+    assert len(rows) > 1 and max(r["count"] for r in rows) < 0.75 * want
